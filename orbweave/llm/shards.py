@@ -41,12 +41,11 @@ class Boundary:
         return self.low if self.target - self.below <= self.below + self.inside - self.target else self.high
 
 
-def find_splitters(keys: DataFrame, parts: int, tolerance: float) -> list[int]:
-    """parts - 1 splitters s_i of `key` with near i / parts of all `size` below s_i: within tolerance of a share, or as near as a
-    single row (or rows of one key) allows."""
+def find_splitters(keys: DataFrame, targets: list[int], within: float) -> list[int]:
+    """For each target a splitter with near that much `size` at keys below it: within the tolerance, or as near as a single row
+    (or rows of one key) allows. Targets ascend; keys are from 0 to 2^63 - 1."""
     total = keys.agg(F.sum("size")).first()[0] or 0
-    within = tolerance * total / parts
-    wanted = [Boundary(total * i // parts, inside=total) for i in range(1, parts)]
+    wanted = [Boundary(t, inside=total) for t in targets]
     bins = FIRST_BINS
     while total and (ranges := sorted({(b.low, b.high) for b in wanted if not b.done})):
         steps = [max(1, -(-(high - low) // bins)) for low, high in ranges]
@@ -65,7 +64,7 @@ def find_splitters(keys: DataFrame, parts: int, tolerance: float) -> list[int]:
             i = ranges.index((b.low, b.high))
             start, step, below = b.low, steps[i], b.below
             for r in by_range[i]:
-                if below + r["size"] > b.target:
+                if below + r["size"] > b.target or r is by_range[i][-1]:
                     break
                 below += r["size"]
             low = start + (r["bin"] - i * bins) * step
@@ -76,6 +75,12 @@ def find_splitters(keys: DataFrame, parts: int, tolerance: float) -> list[int]:
     return [b.splitter() for b in wanted]
 
 
+def even_splitters(keys: DataFrame, parts: int, tolerance: float) -> list[int]:
+    """Splitters between parts of equal size, to within tolerance of a part."""
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    return find_splitters(keys, [total * i // parts for i in range(1, parts)], tolerance * total / parts)
+
+
 def shard_of(splitters: list[int]) -> Column:
     found = [F.when(F.col("key") >= F.lit(s), 1).otherwise(0) if s < TOP else F.lit(0) for s in splitters]
     return sum(found, F.lit(0)).cast("int")
@@ -94,7 +99,7 @@ def assign_shards(df: DataFrame, shards: int = 40, overhead: int = 16, tolerance
     never parted. An empty table gives an empty one; with fewer rows than shards some stay empty. Further columns aren't read.
     """
     rows = common.written(keyed(df, overhead, text, key), "shard-keys")
-    splitters = find_splitters(rows, shards, tolerance)
+    splitters = even_splitters(rows, shards, tolerance)
     parts = max(1, -(-rows.count() // (shards * PART_ROWS)))
     placed = rows.withColumn("shard", shard_of(splitters)).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
     ranked = placed.withColumn("slot", F.row_number().over(Window.partitionBy("shard", "part").orderBy("key", "doc_id", "text_crc32")).cast("long") - 1)
@@ -109,7 +114,7 @@ def write_shards(df: DataFrame, path: str, shards: int = 40, overhead: int = 16,
     """Write df, all its columns, as one folder a shard, sorted by the sort key: the splitters come from the keys alone, so the
     texts are exchanged once. df must have no column named shard, part or key."""
     rows = common.written(keyed(df, overhead, text, key), "shard-keys")
-    splitters = find_splitters(rows, shards, tolerance)
+    splitters = even_splitters(rows, shards, tolerance)
     parts = max(1, -(-rows.count() // (shards * PART_ROWS)))
     placed = df.withColumn("key", sort_key(F.col(text), F.col(key))).withColumn("shard", shard_of(splitters)).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
     placed.repartition("shard", "part").sortWithinPartitions("shard", "key").drop("key", "part").write.partitionBy("shard").parquet(path)
