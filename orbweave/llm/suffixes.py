@@ -354,8 +354,8 @@ def runs_gone(blobs: list[bytes] | None, size: int) -> tuple[np.ndarray, np.ndar
     return np.flatnonzero(covered == 1), np.flatnonzero(covered == -1)
 
 
-def suffix_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", with_text: bool = True) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with with_text the remaining `text`.
+def suffix_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", with_text: bool = True, carry: list[str] | None = None) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, with with_text the remaining `text`, and the columns to carry.
 
     Each byte covered by a 50-byte string that also starts in a document of smaller doc_id is removed; strings are judged on
     the input. A null text is an empty one; texts under 50 bytes stay. Rows of a null id neither lose bytes nor cause it, nor do
@@ -363,15 +363,16 @@ def suffix_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", with_te
     in the digest. Empty tables give empty ones; further columns aren't read.
     """
     spark = df.sparkSession
-    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(c) for c in carry or []]).alias("carried"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(16, total // RANGE_BYTES)
     by_part = lambda rows, f: rows.groupBy("part").applyInArrow(lambda table: pa.Table.from_batches([*f(table, parts)], schema=empty.schema), OUT)
     empty = batch_of([], [], [], [], [])
-    first = common.written(by_part(parse_documents(docs.where(f"doc_id IS NOT NULL AND octet_length(text) >= {LENGTH}"), parts), meet), "parse")
+    first = common.written(by_part(parse_documents(docs.select("doc_id", "text_hash", "text").where(f"doc_id IS NOT NULL AND octet_length(text) >= {LENGTH}"), parts), meet), "parse")
     common.release_shuffles(spark)
+    plain = docs.select("doc_id", "text_hash", "text")
     blobs = lambda rows: rows.groupBy("doc_id", "text_hash").agg(F.collect_list("blob").alias("blobs"))
-    asked = docs.join(blobs(first.where(F.col("kind") == WANTED)), ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "blobs")
+    asked = plain.join(blobs(first.where(F.col("kind") == WANTED)), ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "blobs")
     second = common.written(by_part(fetch(asked, parts), sort_suffixes), "suffixes")
     common.release_shuffles(spark)
     gone = blobs(first.where(F.col("kind") == GONE).unionByName(second))
@@ -389,11 +390,13 @@ def suffix_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", with_te
                         left = b"".join([left[s:e] for s, e in cuts])
                     rows.append((i, b - a, b - a - len(left), len(starts), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if with_text else None))
                 kinds = [pa.int64()] * 4 + [pa.string()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*made, part.column(3)], names)
 
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
-    out = docs.join(gone, ["doc_id", "text_hash"], "left").select("doc_id", "text", "blobs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
-    return out if with_text else out.drop("text")
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "carried"]
+    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, carried {docs.schema['carried'].dataType.simpleString()}"
+    out = docs.join(gone, ["doc_id", "text_hash"], "left").select("doc_id", "text", "blobs", "carried").mapInArrow(run, schema)
+    return out.select(*names[: 6 if with_text else 5], *[F.col("carried").getField(c).alias(c) for c in carry or []])
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,9 @@ CARRIER = b"|0123456789abcdefghijklmnopqrstuvwxyz|"
 #: Labelled documents of each class to fit and calibrate on, at most; the first by a hash of their id.
 TOXIC_DOCS, ORDINARY_DOCS = 4000, 8000
 #: A stretch: bytes, least contexts (and least share of toxic documents), times as many documents as among ordinary ones.
-SHORTEST, LONGEST, CONTEXTS, SHARE, RATIO = 5, 12, 8, 0.01, 15
+SHORTEST, LONGEST, CONTEXTS, SHARE, RATIO = 5, 12, 5, 0.01, 15
+#: Toxic documents from which on calibration has documents of its own.
+APART = 400
 #: Frequent ordinary words of the dictionaries; bytes of a window, of which longer words have several, overlapping.
 COMMON_WORDS, WINDOW, OVERLAP = 4000, 64, 16
 CACHE = 700_000
@@ -58,7 +60,7 @@ def recurring(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[byt
     for words in ordinary:
         in_ordinary.update({g for w in set(words) for g in prefixes(w)} & may)
     least = max(CONTEXTS, SHARE * n_toxic)
-    may = {g for g in may if in_ordinary[g] * RATIO * least / n_toxic <= least * least or in_ordinary[g] < n_ordinary // 100}
+    may = {g for g in may if in_ordinary[g] * 100 <= n_ordinary}
     contexts = defaultdict(set)
     for words in toxic:
         around = [b"", *words, b""]
@@ -140,17 +142,19 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def fit(rows: list[tuple[str | None, int]]) -> Model:
-    """rows: (text, label). Every other document of a class makes the dictionaries, the others calibrate. Without both classes
-    every score is 0."""
+    """rows: (text, label). Every other document of a class makes the dictionaries, the others calibrate; with fewer than APART
+    toxic ones all do both. Without both classes every score is near 0."""
     toxic, ordinary = ([words_of(t) for t, y in rows if y == c] for c in (1, 0))
-    common_words = Counter(w for words in ordinary[::2] for w in set(words))
+    apart = len(toxic) >= APART and len(ordinary) >= APART
+    made, kept = (slice(0, None, 2), slice(1, None, 2)) if apart else (slice(None), slice(None))
+    common_words = Counter(w for words in ordinary[made] for w in set(words))
     base = b" " + b" ".join(w for w, _ in sorted(common_words.items(), key=lambda x: (-x[1], x[0]))[:COMMON_WORDS]) + b" " + CARRIER
     if not toxic or not ordinary:
         return Model(base, base, 1, (-30.0, 0, 0, 0))
-    found = recurring(toxic[::2], ordinary[::2])
+    found = recurring(toxic[made], ordinary[made])
     model = (base, b"\n".join(found) + b"\n" + base)
     d = Distance(*model)
-    held = [(w, 1) for w in toxic[1::2] or toxic] + [(w, 0) for w in ordinary[1::2] or ordinary]
+    held = [(w, 1) for w in toxic[kept]] + [(w, 0) for w in ordinary[kept]]
     greatest = np.array([d.text(w, 1)[0] for w, _ in held])
     y = np.array([y for _, y in held])
     # the threshold that errs least
