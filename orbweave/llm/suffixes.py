@@ -322,7 +322,8 @@ def suffix_round(x: np.ndarray, place: np.ndarray, body: np.ndarray, ids: np.nda
     at = place[owner] + step
     views = np.lib.stride_tricks.sliding_window_view(body, LENGTH)
     if rounds > 1:  # by the first and last bytes: equal windows are in one round
-        mine = (body[at].astype(np.int64) * 7 + body[at + LENGTH - 1] * 131 + body[at + LENGTH // 2] * 1031) % rounds == c
+        ends = (body[at + i].astype(np.int64) for i in (0, LENGTH // 2, LENGTH - 1))
+        mine = functools.reduce(lambda a, b: a * 257 + b, ends) % rounds == c
         owner, step, at = owner[mine], step[mine], at[mine]
     if not len(at):
         return
