@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -38,10 +40,10 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished steps, whose results are in written tables."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first finds the tables' plans, the second what only these held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
