@@ -26,6 +26,8 @@ BITS = 4
 MARGIN = 6.5
 #: Pivots of a bucket in one later round.
 PIVOTS = 32
+#: Hashes mapped at once.
+CHUNK = 1 << 14
 #: Words whose hashes a worker keeps.
 CACHE = 500_000
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -71,26 +73,40 @@ def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
 
 
 class Hasher:
+    """Minima of bands * rows linear maps of the upper 32 bits of hashes."""
+
     def __init__(self, bands: int, rows: int, seed: int = 7):
         n = bands * rows
-        draw = np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 63, (2, n), np.uint64)
-        self.bands, self.rows, self.a, self.b = bands, rows, (draw[0] << np.uint64(1) | np.uint64(1))[:, None], mix(draw[1])[:, None]
+        draw = np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 32, (2, n), np.uint32)
+        self.bands, self.rows, self.a, self.b = bands, rows, draw[0] | np.uint32(1), draw[1]
         self.band_seed = mix(np.arange(1, bands + 1, dtype=np.uint64))
 
-    def minima(self, hashes: np.ndarray) -> np.ndarray:
-        low = np.full(len(self.a), np.iinfo(np.uint64).max)
-        for i in range(0, len(hashes), 2048):
-            low = np.minimum(low, (hashes[None, i : i + 2048] * self.a + self.b).min(axis=1))
-        return low
+    def minima(self, sets: list[np.ndarray]) -> np.ndarray:
+        """One row a set, none of which is empty; sets are taken together up to CHUNK hashes, which stay in the cache."""
+        out = np.empty((len(sets), len(self.a)), np.uint32)
+        ends = np.cumsum([len(x) for x in sets])
+        i = 0
+        while i < len(sets):
+            begin = ends[i] - len(sets[i])
+            j = max(i + 1, int(np.searchsorted(ends, begin + CHUNK, side="right")))
+            x = (np.concatenate(sets[i:j]) >> np.uint64(32)).astype(np.uint32)
+            starts = np.concatenate([[0], ends[i : j - 1] - begin])
+            y = np.empty_like(x)
+            for k, (a, b) in enumerate(zip(self.a, self.b, strict=True)):
+                np.multiply(x, a, out=y)
+                np.add(y, b, out=y)
+                out[i:j, k] = np.minimum.reduceat(y, starts)
+            i = j
+        return out
 
     def bits(self, low: np.ndarray) -> bytes:
         """BITS low bits of each mixed minimum, two minima a byte."""
-        x = (mix(low) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+        x = (mix(low.astype(np.uint64)) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
         x = np.concatenate([x, np.zeros(len(x) % 2, np.uint8)])
         return (x[::2] | x[1::2] << BITS).tobytes()
 
     def keys(self, low: np.ndarray) -> np.ndarray:
-        m, h = low.reshape(self.bands, self.rows), self.band_seed.copy()
+        m, h = low.reshape(self.bands, self.rows).astype(np.uint64), self.band_seed.copy()
         for i in range(self.rows):
             h = mix(h * M1 + m[:, i])
         return h.view(np.int64)
@@ -102,15 +118,14 @@ def features(df: DataFrame, k: int, bands: int, rows: int, text: str, key: str)
         for batch in batches:
             for part in common.text_slices(batch):
                 data, at = common.text_bytes(part.column(1))
-                sizes, sets, bits, keys = [], [], [], []
-                for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    h = shingle_hashes(words_of(data[a:b].tobytes()), k)
-                    sizes.append(len(h))
-                    if not len(h):
-                        sets.append(None), bits.append(None), keys.append(None)
-                        continue
-                    low = hasher.minima(h)
-                    sets.append(xxhash.xxh3_128_digest(h.tobytes())), bits.append(hasher.bits(low)), keys.append(hasher.keys(low))
+                every = [shingle_hashes(words_of(data[a:b].tobytes()), k) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                sizes, sets, bits, keys = [len(h) for h in every], [], [], []
+                minima = iter(hasher.minima([h for h in every if len(h)]))
+                for h in every:
+                    low = next(minima) if len(h) else None
+                    sets.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
+                    bits.append(None if low is None else hasher.bits(low))
+                    keys.append(None if low is None else hasher.keys(low))
                 columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "bits", "bands"])
 
