@@ -45,8 +45,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 def word_hashes(words: list[bytes]) -> np.ndarray:
     if len(_seen) > CACHE:
         _seen.clear()
-    for w in set(words) - _seen.keys():
-        _seen[w] = xxhash.xxh3_64_intdigest(w)
+    for w in words:
+        if w not in _seen:
+            _seen[w] = xxhash.xxh3_64_intdigest(w)
     return np.fromiter(map(_seen.__getitem__, words), np.uint64, len(words))
 
 
