@@ -214,9 +214,9 @@ class WordEncoder:
         if len(self.seen) > CACHE:
             self.seen.clear()
         seen = self.seen
-        new = set().union(*split) - seen.keys()
+        new = [x for x in set().union(*split) if x not in seen]
         if new:
-            seen.update(self.ask(list(new)))
+            seen.update(self.ask(new))
         out = [b"".join(map(seen.__getitem__, words)) for words in split]
         for x in new:
             if len(x) > CACHE_CHARS:
