@@ -7,6 +7,7 @@ sketch. Fences come from its quartiles, for each language and source; they repla
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -135,7 +136,7 @@ def op9_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive_rules(common.documents(spark, sf_dir))
 
 
-_CASES = {m: e.replace(" div ", " // ") for m, (e, _, _) in MEASURES.items()}
+_CASES = {m: re.sub(r" div (\w+)", r" // nullif(\1, 0)", e) for m, (e, _, _) in MEASURES.items()}
 _LEAST = " ".join(f"WHEN '{m}' THEN {least}" for m, (_, least, _) in MEASURES.items())
 
 
