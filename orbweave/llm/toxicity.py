@@ -26,7 +26,7 @@ from orbweave.llm import common
 
 CARRIER = b"|0123456789abcdefghijklmnopqrstuvwxyz|"
 #: Labelled documents of each class to fit and calibrate on, at most; the first by a hash of their id.
-TOXIC_DOCS, ORDINARY_DOCS = 4000, 8000
+TOXIC_DOCS, ORDINARY_DOCS = 1500, 3000
 #: A stretch: bytes, least contexts (and least share of toxic documents), times as many documents as among ordinary ones.
 SHORTEST, LONGEST, CONTEXTS, SHARE, RATIO = 5, 12, 5, 0.01, 15
 #: Toxic documents from which on calibration has documents of its own.
