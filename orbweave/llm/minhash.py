@@ -2,9 +2,11 @@
 
 Sets of equal content become one representative. Bands of minima propose pairs of representatives; packed low bits of the
 minima estimate their similarity, corrected for chance agreement, and drop those far below the threshold; the rest is confirmed
-on the full sets. A band's bucket isn't turned into all its pairs: its least member is compared with each other, then only
-members that still are in different components, a block of pivots at a time, until no bucket holds an untested pair of two
-components. With the defaults a pair at the threshold has no common band in fewer than one of 10^9 cases.
+on the full sets. A band's bucket isn't turned into all its pairs: its least member, the pivot, is compared with each other.
+Where members of a pivot stay in different components, each is written as its symmetric difference to the pivot's set, from which
+the overlap of any two follows: |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|. Blocks of members are multiplied as 0/1 matrices of
+the differences' elements, and a block returns no pairs but those that join two of its components. With the defaults a pair
+at the threshold has no common band in fewer than one of 10^9 cases.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm import common
@@ -24,8 +26,10 @@ from orbweave.llm import common
 BITS = 4
 #: Standard deviations below the threshold at which an estimate drops a pair.
 MARGIN = 6.5
-#: Pivots of a bucket in one later round.
-PIVOTS = 32
+#: Rows of a block of members: at least so many, a SPREADth of a larger group's, or fewer if their elements pass BLOCK_ITEMS.
+BLOCK_ROWS, BLOCK_ITEMS, SPREAD = 128, 1 << 20, 16
+#: Elements of one product of two blocks.
+COLUMNS = 1 << 12
 #: Hashes mapped at once.
 CHUNK = 1 << 14
 #: Words whose hashes a worker keeps.
@@ -170,11 +174,118 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
                 good.append(100 * both >= percent * (len(left) + len(right) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
+    return with_texts(pairs, docs).mapInArrow(run, "a long, b long")
+
+
+def with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of pairs (a, b): a, b, a_text, b_text. docs: rep, text."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     texts = common.written(docs.join(needed, "rep", "left_semi").dropDuplicates(["rep"]), "near-texts")
     side = lambda c: texts.select(F.col("rep").alias(c), F.col("text").alias(f"{c}_text"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_text", "b_text")
-    return both.mapInArrow(run, "a long, b long")
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_text", "b_text")
+
+
+def differences(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """Of pairs (a, b): a, b, n (size of b's set), d (hashes that only one of both sets has)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, left = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            n, d = [], []
+            for a, x, y in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if a != last:
+                    last, left = a, shingle_hashes(words_of(x.encode()), k)
+                right = shingle_hashes(words_of(y.encode()), k)
+                n.append(len(right))
+                d.append(np.setxor1d(left, right, assume_unique=True).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(d, pa.list_(pa.int64()))], ["a", "b", "n", "d"])
+
+    return with_texts(pairs, docs).mapInArrow(run, "a long, b long, n long, d array<long>")
+
+
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each x with each y; all hold distinct values."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    flat = [np.concatenate(s) if s else np.zeros(0, np.int64) for s in (x, y)]
+    both = np.intersect1d(*flat)
+    if not len(both):
+        return out
+    found = []
+    for s, f in zip((x, y), flat, strict=True):
+        at = np.minimum(np.searchsorted(both, f), len(both) - 1)
+        real = both[at] == f
+        found.append((np.repeat(np.arange(len(s)), [len(v) for v in s])[real], at[real]))
+    for begin in range(0, len(both), COLUMNS):
+        ones = []
+        for s, (row, at) in zip((x, y), found, strict=True):
+            inside = (at >= begin) & (at < begin + COLUMNS)
+            m = np.zeros((len(s), min(COLUMNS, len(both) - begin)), np.float32)
+            m[row[inside], at[inside] - begin] = 1
+            ones.append(m)
+        out += ones[0] @ ones[1].T
+    return out
+
+
+def joining(ids: np.ndarray, n: np.ndarray, label: np.ndarray, d: list[np.ndarray], stranger: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Of a block's rows, links from strangers to others, only those that join two labels not joined before."""
+    xs, ys = np.flatnonzero(stranger), np.flatnonzero(~stranger)
+    if not len(xs) or not len(ys):
+        return []
+    size = np.array([len(v) for v in d])
+    apart = size[xs][:, None] + size[ys][None, :] - 2 * overlaps([d[i] for i in xs], [d[i] for i in ys]).astype(np.int64)
+    hit = (100 - percent) * (n[xs][:, None] + n[ys][None, :]) >= (100 + percent) * apart
+    label, out = label.copy(), []
+    for i, x in enumerate(xs):
+        at = ys[hit[i]]
+        at = at[label[at] != label[x]]
+        while len(at):
+            y = at[0]
+            out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+            label[label == label[y]] = label[x]
+            at = at[label[at] != label[x]]
+    return out
+
+
+def joined_in_blocks(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that link different labels in a pivot's group. members: a, b, n, d, label, stranger (its label isn't a's).
+
+    Of two members with different labels one is a stranger, so blocks of strangers meet blocks of all members.
+    """
+    rows = lambda c: F.greatest(F.lit(BLOCK_ROWS), F.least(F.lit(BLOCK_ROWS * SPREAD), F.ceil(F.col(c) / SPREAD)))
+    parts = lambda n, items: F.greatest(F.ceil(F.col(n) / rows(n)), F.ceil(F.col(items) / BLOCK_ITEMS)).cast("int")
+    length = F.size("d").cast("long")
+    sums = members.groupBy("a").agg(F.count("*").alias("n_y"), F.sum(length).alias("i_y"), F.count_if("stranger").alias("n_x"), F.sum(F.when(F.col("stranger"), length)).alias("i_x"))
+    dealt = members.join(sums.select("a", parts("n_x", "i_x").alias("g_x"), parts("n_y", "i_y").alias("g_y")), "a")
+    place = lambda g: F.pmod(F.xxhash64("b"), F.col(g)).cast("int")
+    every = lambda g: F.explode(F.sequence(F.lit(0), F.col(g) - 1))
+    columns = ["a", "b", "n", "label", "d"]
+    x = dealt.where("stranger").select(*columns, F.lit(True).alias("x"), place("g_x").alias("i"), every("g_y").alias("j"))
+    y = dealt.select(*columns, F.lit(False).alias("x"), every("g_x").alias("i"), place("g_y").alias("j"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def solve(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        column = lambda c, kind: np.array([r[c] for r in rows], kind)
+        found = joining(column("b", np.int64), column("n", np.int64), column("label", np.int64), [np.array(r["d"], np.int64) for r in rows], column("x", bool), percent)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([int(p[s]) for p in found], pa.int64()) for s in (0, 1)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, at = [], None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("a", "i", "j")), strict=True))
+            values = {c: batch.column(c).to_pylist() for c in ("b", "n", "label", "x")}
+            d = batch.column("d")
+            for r, key in enumerate(keys):
+                if key != at:
+                    if block:
+                        yield from solve(block)
+                    block, at = [], key
+                block.append({c: v[r] for c, v in values.items()} | {"d": d[r].values.to_numpy()})
+        if block:
+            yield from solve(block)
+
+    blocks = x.unionByName(y).repartition("a", "i", "j").sortWithinPartitions("a", "i", "j")
+    return blocks.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -211,26 +322,21 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, bands: int = 5
     shared = in_band.groupBy("band").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a < most").select("band", "a")
     # only buckets of two or more go on; all later rounds read them from this table
     inside = common.written(in_band.join(shared, "band"), "buckets")
-    pairs = inside.where("rep != a").select("a", F.col("rep").alias("b")).distinct()
-    tested = links = None
-    first = 0
-    while True:
-        pairs = common.written(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = common.written(confirmed(common.written(likely(pairs, sets, percent, bands * rows), "likely"), docs, k, percent), "confirmed")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        common.release_shuffles(spark)
-        member = inside.join(labels, inside["rep"] == labels["v"], "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
-        mixed = member.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where(f"x < y AND n > {first + 2 if first == 0 else first + 1}").select("band")
-        rank = F.row_number().over(Window.partitionBy("band").orderBy("rep"))
-        left = common.written(member.join(mixed, "band", "left_semi").withColumn("rank", rank), "mixed")
-        first = first + PIVOTS if first else 1
-        pivots = left.where(F.col("rank").between(first + 1 if first == 1 else first + 1, first + PIVOTS)).select("band", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("rank").alias("ra"))
-        if not pivots.limit(1).count():
-            break
-        crossed = left.join(pivots, "band").where("rank > ra AND label != la").select("a", F.col("rep").alias("b")).distinct()
-        pairs = crossed.join(tested, ["a", "b"], "left_anti")
+    pairs = common.written(inside.where("rep != a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
+    links = confirmed(common.written(likely(pairs, sets, percent, bands * rows), "likely"), docs, k, percent)
+    links = common.written(links, "confirmed")
+    labels = components(links)
+    common.release_shuffles(spark)
+    of = lambda c: labels.select(F.col("v").alias(c), F.col("label").alias(f"{c}_label"))
+    members = pairs.join(of("b"), "b", "left").join(of("a"), "a", "left").select("a", "b", F.coalesce("b_label", "b").alias("label"), (F.coalesce("b_label", "b") != F.coalesce("a_label", "a")).alias("stranger"))
+    members = common.written(members, "members")
+    # one member of a pivot has been compared; and where all are in the pivot's component nothing is left to join
+    mixed = members.groupBy("a").agg(F.count("*").alias("n"), F.bool_or("stranger").alias("any")).where("n > 1 AND any").select("a")
+    members = common.written(members.join(mixed, "a", "left_semi"), "mixed")
+    apart = common.written(differences(members.select("a", "b"), docs, k), "differences")
+    more = common.written(joined_in_blocks(apart.join(members, ["a", "b"]), percent), "joined")
+    common.release_shuffles(spark)
+    labels = components(links.unionByName(common.written(confirmed(more, docs, k, percent), "confirmed")))
     out = feats.select("doc_id", "n_shingles", "set_key").join(reps, "set_key", "left").join(labels, F.col("rep") == F.col("v"), "left")
     component = F.coalesce("label", "rep", "doc_id")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(component)
