@@ -234,3 +234,28 @@ def test_resampling(marked, empty):
     good, bad = ([got[i]["log_weight"] for i in held if (i % 5 != 0) == y] for y in (True, False))
     assert min(good) > max(bad)
     assert resampling.resample(empty, labels).count() == 0
+
+
+def test_group_of_near_copies_around_the_threshold(spark):
+    """One original's copies with so many edits that some are linked to it, some only to each other and some to nothing."""
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(900)]
+    base, out = [r.choice(words) for _ in range(150)], []
+    for _ in range(260):
+        copy = list(base)
+        for _ in range(r.randint(1, 8)):
+            copy[r.randrange(150)] = r.choice(words)
+        out.append(copy)
+        if r.random() < 0.2:
+            out.append(copy[:100] + [r.choice(words)] + copy[101:])
+    sets = [minhash.shingles(c, 3) for c in out]
+    label = list(range(len(out)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if label[i] != label[j] and 100 * (both := len(x & sets[j])) >= 85 * (len(x) + len(sets[j]) - both):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if v == old else v for v in label]
+    assert 3 < len(set(label)) < len(out) // 2
+    docs = spark.createDataFrame([(i, " ".join(c)) for i, c in enumerate(out)], "doc_id long, text string")
+    got = minhash.near_duplicates(docs, k=3, percent=85, bands=45, rows=6)
+    assert dict(pairs(got, "doc_id", "component_id")) == dict(enumerate(label))
