@@ -336,9 +336,15 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, bands: int = 5
     apart = common.written(differences(members.select("a", "b"), docs, k), "differences")
     more = common.written(joined_in_blocks(apart.join(members, ["a", "b"]), percent), "joined")
     common.release_shuffles(spark)
-    labels = components(links.unionByName(common.written(confirmed(more, docs, k, percent), "confirmed")))
     out = feats.select("doc_id", "n_shingles", "set_key").join(reps, "set_key", "left").join(labels, F.col("rep") == F.col("v"), "left")
-    component = F.coalesce("label", "rep", "doc_id")
+    out = out.select("doc_id", "n_shingles", F.coalesce("label", "rep", "doc_id").alias("base"))
+    component = F.col("base")
+    if more.limit(1).count():
+        # what joins the components found so far is small beside their links
+        told = common.written(confirmed(more, docs, k, percent), "confirmed").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        top = components(told.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")))
+        out = out.join(top, F.col("base") == F.col("v"), "left")
+        component = F.coalesce("label", "base")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(component)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
