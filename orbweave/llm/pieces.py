@@ -16,8 +16,10 @@ import functools
 import hashlib
 import heapq
 import re
+import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,9 @@ from orbweave.llm import common
 
 SPACE = "▁"
 #: Stretches and pairs of pieces that a worker keeps; longer stretches aren't kept.
-CACHE, CACHE_CHARS = 500_000, 64
-STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+CACHE, CACHE_CHARS = 700_000, 64
+#: Code of a character that is no piece; bits of a code.
+UNKNOWN, CODE_BITS = 1 << 21, 22
 
 
 class PieceModel:
@@ -38,17 +41,40 @@ class PieceModel:
 
         library = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(library.vocab_size())
+        if len(ids) > UNKNOWN:
+            raise ValueError("the vocabulary is too large")
         special = {i for i in ids if library.is_byte(i) or library.is_control(i) or library.is_unknown(i)}
         self.ids = {library.id_to_piece(i): i for i in ids if i not in special and not library.is_unused(i)}
         self.scores = {p: library.get_score(i) for p, i in self.ids.items()}
         self.bytes = {int(library.id_to_piece(i)[1:-1], 16): i for i in ids if library.is_byte(i)}
         if len(self.bytes) != 256 or library.encode(" ab", out_type=str)[0][:1] != SPACE or any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a model with byte fallback, a leading space and spaces only at the start of pieces is needed")
-        self.text = {i: library.id_to_piece(i) for i in ids}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
+        piece = {i: library.id_to_piece(i) for i in ids}
+        byte_of = {i: b for b, i in self.bytes.items()}
+        #: Bytes of each id; special ones have none.
+        self.text = [bytes([byte_of[i]]) if i in byte_of else b"" if i in special else piece[i].replace(SPACE, " ").encode() for i in ids]
+        self.is_byte = np.array([i in byte_of for i in ids])
         self.widest = max(map(len, self.ids))
-        self.stays: dict[tuple[str, str], bool] = {}
-        self.seen: dict[str, tuple[int, ...]] = {}
+        #: By character: what may follow it in a piece, and the id of the piece that ends here or 0.
+        self.tree: dict[str, tuple[dict, int]] = {}
+        for p, i in self.ids.items():
+            node = self.tree
+            for c in p[:-1]:
+                node = node.setdefault(c, ({}, 0))[0]
+            node[p[-1]] = (node[p[-1]][0] if p[-1] in node else {}, i)
+        #: Pairs of characters within pieces; between any others no piece reaches across.
+        self.joins = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.pattern = self.stretches()
+        self.stays: dict[int, bool] = {}
+        self.seen: dict[str, bytes] = {}
+
+    def stretches(self) -> re.Pattern:
+        """Spaces with what follows them: letters, or characters that no piece puts beside a letter."""
+        loose = {c for c in {*map(chr, range(128)), *chain.from_iterable(self.joins)} if not c.isalpha()} - {" ", SPACE}
+        while near := {c for j in self.joins if SPACE not in j for c, d in (j, j[::-1]) if c in loose and d not in loose}:
+            loose -= near
+        others = re.escape("".join(sorted(loose)))
+        return re.compile(f"{SPACE}*[^{SPACE}{others}]+|{SPACE}*[{others}]+|{SPACE}+")
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short string by rank: the adjacent pair of best score first, the leftmost of equals."""
@@ -69,80 +95,101 @@ class PieceModel:
                     heapq.heappush(heap, (-s, x, parts[x], parts[y]))
         return [p for p in parts if p]
 
-    def may_follow(self, a: str, b: str) -> bool:
-        """Whether a and b (or b alone, after nothing) stay as they are."""
-        if (known := self.stays.get((a, b))) is None:
-            if len(self.stays) >= CACHE:
-                self.stays.clear()
-            known = self.stays[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+    def may_follow(self, a: str, b: str, key: int) -> bool:
+        """Whether a and b (or b alone, after nothing) stay as they are; key stands for both."""
+        if len(self.stays) >= CACHE:
+            self.stays.clear()
+        known = self.stays[key] = self.merged(a + b) == ([a, b] if a else [b])
         return known
 
     def stream(self, text: str) -> Iterator[str]:
         """The pieces of one stretch, each as soon as it is final."""
-        back: dict[int, int] = {0: 0}  # position: start of the last piece of the path to it
+        stays, widest, n = self.stays, self.widest, len(text)
+        back, last = {0: 0}, {0: 0}  # position: start and code of the last piece of the path to it
         done = 0
-        for end in range(1, len(text) + 1):
-            for start in range(max(done, end - self.widest), end):
-                piece = text[start:end]
-                if (piece in self.ids or end - start == 1) and start in back:
-                    last = text[back[start] : start]
-                    if self.may_follow(last, piece):
-                        back[end] = start
-                        break
-            live = {p for p in range(max(done, end - self.widest + 1), end + 1) if p in back}
-            if end < len(text) and end - done > 2 * self.widest or end == len(text):
-                live = live if end < len(text) else {end}
+        for start in range(n):
+            if (a := last.get(start)) is None:
+                continue
+            node = self.tree
+            for end, c in enumerate(text[start : start + widest], start + 1):
+                if (found := node.get(c)) is not None:
+                    node, b = found
+                elif end == start + 1:
+                    node, b = {}, UNKNOWN + ord(c)
+                else:
+                    break
+                if b and end not in last:
+                    key = a << CODE_BITS | b
+                    if (known := stays.get(key)) is None:
+                        known = self.may_follow(text[back[start] : start], text[start:end], key)
+                    if known:
+                        back[end], last[end] = start, b
+            if start - done > 2 * widest:
+                live = {p for p in back if p > start}
                 while len(live) > 1:  # walk the latest back until all meet
                     p = max(live)
                     live.remove(p)
                     live.add(max(done, back[p]))
                 (meet,) = live
-                out, p = [], meet
-                while p > done:
-                    out.append(text[back[p] : p])
-                    p = back[p]
-                yield from reversed(out)
                 if meet > done:
+                    yield from path(text, back, done, meet)
                     # the piece before `meet` is still needed to judge its follower
-                    back = {p: s for p, s in back.items() if p >= meet}
-                    done = meet
+                    back, last, done = {p: s for p, s in back.items() if p >= meet}, {p: b for p, b in last.items() if p >= meet}, meet
+        yield from path(text, back, done, n)
+
+    def segments(self, text: str) -> Iterator[str]:
+        """Parts of a stretch that no piece reaches across."""
+        begin = 0
+        for i in range(1, len(text)):
+            if text[i - 1 : i + 1] not in self.joins:
+                yield text[begin:i]
+                begin = i
+        yield text[begin:]
+
+    def kept(self, text: str, ids: bytes) -> bytes:
+        if len(text) <= CACHE_CHARS:
+            if len(self.seen) >= CACHE:
+                self.seen.clear()
+            self.seen[text] = ids
+        return ids
 
-    def stretch(self, text: str) -> tuple[int, ...]:
+    def segment(self, text: str) -> bytes:
         ids: list[int] = []
         for piece in self.stream(text):
             if (i := self.ids.get(piece)) is not None:
                 ids.append(i)
             else:
                 ids += [self.bytes[b] for b in piece.encode("utf-8", "replace")]
-        if len(text) <= CACHE_CHARS:
-            if len(self.seen) >= CACHE:
-                self.seen.clear()
-            self.seen[text] = tuple(ids)
-        return tuple(ids)
+        return self.kept(text, struct.pack(f"<{len(ids)}i", *ids))
 
-    def encode(self, text: str | None) -> list[int]:
+    def stretch(self, text: str) -> bytes:
+        parts = list(self.segments(text))
+        if len(parts) == 1:
+            return self.segment(text)
+        get = self.seen.get
+        return self.kept(text, b"".join([get(x) or self.segment(x) for x in parts]))
+
+    def encode(self, text: str | None) -> np.ndarray:
         if not text:
-            return []
-        out: list[int] = []
+            return np.zeros(0, "<i4")
         get = self.seen.get
-        for x in STRETCH.findall(SPACE + text.replace(" ", SPACE)):
-            out += get(x) or self.stretch(x)
-        return out
+        return np.frombuffer(b"".join([get(x) or self.stretch(x) for x in self.pattern.findall(SPACE + text.replace(" ", SPACE))]), "<i4")
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         """Pieces put together, bytes as UTF-8 (with U+FFFD for what isn't), without the leading space."""
-        out = bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                out.append(self.byte_of[i])
-            elif i < 3:
-                continue
-            else:
-                out += self.text[i].replace(SPACE, " ").encode()
-        text = out.decode("utf-8", "replace")
+        text = b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
+def path(text: str, back: dict[int, int], begin: int, end: int) -> list[str]:
+    """The pieces between two boundaries."""
+    out = []
+    while end > begin:
+        out.append(text[back[end] : end])
+        end = back[end]
+    return out[::-1]
+
+
 @functools.lru_cache(2)
 def piece_model(path: str) -> PieceModel:
     return PieceModel(path)
@@ -164,7 +211,7 @@ def map_texts(df: DataFrame, path: str, make: Callable, schema: str, text: str,
 def encode(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: doc_id, ids, n_tokens. Null and empty texts have no ids; repeated rows have equal ones, an empty table gives an
     empty one, further columns aren't read."""
-    make = lambda m, t: (pa.scalar(ids := m.encode(t), pa.list_(pa.int32())), len(ids))
+    make = lambda m, t: (ids := m.encode(t), len(ids))
     return map_texts(df, path, make, "ids array<int>, n_tokens long", text, key)
 
 
@@ -184,8 +231,8 @@ def decode(df: DataFrame, path: str, ids: str = "ids", key: str = "doc_id") -> D
 def digest(model: PieceModel, text: str | None) -> tuple:
     """What the query returns: counts, digests of the ids and of the decoded text, and whether that is the text."""
     ids = model.encode(text)
-    decoded = model.decode(ids)
-    return len(text or ""), len(ids), sum(i in model.byte_of for i in ids), zlib.crc32(np.asarray(ids, "<u4").tobytes()), hashlib.sha256(decoded.encode()).hexdigest(), decoded == (text or "")
+    decoded = model.decode(ids.tolist())
+    return len(text or ""), len(ids), int(model.is_byte[ids].sum()), zlib.crc32(ids), hashlib.sha256(decoded.encode()).hexdigest(), decoded == (text or "")
 
 
 DIGEST = "n_chars long, n_tokens long, n_byte_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
