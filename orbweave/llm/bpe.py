@@ -6,7 +6,6 @@ a bound.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 import os
@@ -150,10 +149,9 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(other)) for b in range(256)]
 
 
-@functools.lru_cache(2)
 def merge_counter(path: str) -> MergeCounter:
     """One a worker, which later tasks find with what it has kept."""
-    return MergeCounter(path)
+    return common.held(MergeCounter, path)
 
 
 def count_tokens(df: DataFrame, tokenizer_path: str, limit: int = 2048, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -224,9 +222,8 @@ class WordEncoder:
         return out
 
 
-@functools.lru_cache(2)
 def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return common.held(WordEncoder, path)
 
 
 def write_token_files(df: DataFrame, tokenizer_path: str, folder: str, end_id: int, text: str = "text", key: str = "doc_id") -> list[dict]:

@@ -7,7 +7,8 @@ import os
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_held: dict[tuple, Any] = {}
+
+
+def held(make: Callable, *args) -> Any:
+    """make(*args), which a worker keeps for later tasks until something else is asked for. Spark gives a worker to one operator
+    after another, so it only keeps what the present one needs."""
+    if (key := (make, *args)) not in _held:
+        let_go()
+        _held[key] = make(*args)
+    return _held[key]
+
+
+def let_go() -> None:
+    """Free what an earlier operator has left in this worker."""
+    if _held:
+        _held.clear()
+        gc.collect()
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of whole rows, each of at most SLICE_BYTES of text unless one row alone has more."""
     n = batch.num_rows

@@ -114,6 +114,7 @@ def count_shingles(docs: DataFrame, block) -> dict[tuple[int, int], int]:
     """Occurrences of the block's shingles over all documents; no more entries than the block has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.let_go()
         b = block.value
         total = {s: np.zeros(len(k), np.int64) for s, k in b.shingles.items()}
         for batch in batches:
@@ -136,6 +137,7 @@ def probe(docs: DataFrame, block) -> DataFrame:
     """Adds the block's occurrences to spans (pairs of word positions) and items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.let_go()
         b = block.value
         for batch in batches:
             for part in common.text_slices(batch):

@@ -36,9 +36,6 @@ CHUNK = 1 << 14
 CACHE = 500_000
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
-_seen: dict[bytes, int] = {}
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (splitmix64's finish)."""
     x = (x ^ (x >> np.uint64(30))) * M2
@@ -47,12 +44,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_seen) > CACHE:
-        _seen.clear()
+    seen = common.held(dict)
+    if len(seen) > CACHE:
+        seen.clear()
     for w in words:
-        if w not in _seen:
-            _seen[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(_seen.__getitem__, words), np.uint64, len(words))
+        if w not in seen:
+            seen[w] = xxhash.xxh3_64_intdigest(w)
+    return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
 
 
 def words_of(text: bytes) -> list[bytes]:

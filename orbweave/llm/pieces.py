@@ -12,7 +12,6 @@ is merged by rank; such a path is the only one to its position, and it is the li
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import re
@@ -190,9 +189,8 @@ def path(text: str, back: dict[int, int], begin: int, end: int) -> list[str]:
     return out[::-1]
 
 
-@functools.lru_cache(2)
 def piece_model(path: str) -> PieceModel:
-    return PieceModel(path)
+    return common.held(PieceModel, path)
 
 
 def map_texts(df: DataFrame, path: str, make: Callable, schema: str, text: str, key: str) -> DataFrame:

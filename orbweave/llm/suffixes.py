@@ -216,6 +216,7 @@ def parse_documents(docs: DataFrame, parts: int) -> DataFrame:
                 yield batch_of([PHRASES], [int(mix(y["h"][:1])[0] % np.uint64(parts))], [None], [None], [pack(y, ids, hashes)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.let_go()
         x, ids, hashes, rows, docs = [], [], [], 0, 0
         for batch in batches:
             for part in common.text_slices(batch):
@@ -234,6 +235,7 @@ def parse_documents(docs: DataFrame, parts: int) -> DataFrame:
 
 def meet(table: pa.Table, parts: int) -> Iterator[pa.RecordBatch]:
     """The phrases of one range of triggers: what goes, and what is wanted of the dictionary."""
+    common.let_go()
     kinds = np.asarray(table.column("kind"))
     for batch in table.filter(pa.array(kinds == GONE)).to_batches():
         yield batch
@@ -295,6 +297,7 @@ def fetch(asked: DataFrame, parts: int) -> DataFrame:
 
 def sort_suffixes(table: pa.Table, parts: int) -> Iterator[pa.RecordBatch]:
     """The dictionary of one range of triggers: its suffixes in order to the depth of LENGTH bytes."""
+    common.let_go()
     x, ids, hashes, rest = unpack(table.column("blob").to_pylist())
     body = np.concatenate(rest) if rest else np.zeros(0, np.uint8)
     size = x["n"].astype(np.int64) + LENGTH - 1

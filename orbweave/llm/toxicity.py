@@ -9,7 +9,6 @@ greatest distance and number of windows beyond the threshold are calibrated on d
 
 from __future__ import annotations
 
-import functools
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -119,9 +118,8 @@ class Distance:
         return (max(got), sum(d >= threshold for d in got)) if got else (0, 0)
 
 
-@functools.lru_cache(2)
 def distance(ordinary: bytes, toxic: bytes) -> Distance:
-    return Distance(ordinary, toxic)
+    return common.held(Distance, ordinary, toxic)
 
 
 def inputs(greatest: int, beyond: int) -> list[float]:
