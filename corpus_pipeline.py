@@ -22,7 +22,7 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: rejects predicted documents."""
-    return without(docs, toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("predicted = 1"))
+    return toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=docs.columns).where("predicted = 0").select(docs.columns)
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

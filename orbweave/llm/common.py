@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -12,7 +13,8 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Python code works on slices of an Arrow batch of about so many bytes, whatever the batch's size.
 SLICE_BYTES = 8 << 20
@@ -58,7 +60,8 @@ def held(make: Callable, *args) -> Any:
     """make(*args), which a worker keeps for later tasks until something else is asked for. Spark gives a worker to one operator
     after another, so it only keeps what the present one needs."""
     if (key := (make, *args)) not in _held:
-        let_go()
+        _held.clear()
+        give_back()
         _held[key] = make(*args)
     return _held[key]
 
@@ -67,7 +70,24 @@ def let_go() -> None:
     """Free what an earlier operator has left in this worker."""
     if _held:
         _held.clear()
-        gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """Free memory goes back to the system, which a worker else keeps beside the executor's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def carried(columns: list[str]) -> Column:
+    """Columns that pass through a map of rows as one, whatever their names."""
+    return F.struct(F.lit(0).alias("_"), *[F.col(c) for c in columns]).alias("carried")
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    return [F.col("carried").getField(c).alias(c) for c in columns]
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:

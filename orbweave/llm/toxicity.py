@@ -20,6 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from orbweave.llm import common
 
@@ -178,8 +179,9 @@ def training_rows(df: DataFrame, labels: DataFrame, text: str, key: str, label:
     return [(r["text"], r["y"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
-def score(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: doc_id, held_out, score, predicted. Null and empty texts have the score of no window beyond the threshold."""
+def score(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+    """Per row: doc_id, held_out, score, predicted, and in place of doc_id and held_out the columns to carry, if any. Null and
+    empty texts have the score of no window beyond the threshold."""
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,20 +191,29 @@ def score(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id")
         for batch in batches:
             for part in common.text_slices(batch):
                 x = np.array([inputs(*d.text(words_of(t), m.threshold)) for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-x @ w)))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-x @ w))), *part.columns[1 if carry else 2 :]], names)
 
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    out = rows.mapInArrow(run, "doc_id long, score double")
+    names, schema = ["doc_id", "score"], StructType().add("doc_id", "long").add("score", "double")
+    if carry:
+        rest = [c for c in carry if c != text]
+        rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), common.carried(rest))
+        names = [*names, "text", "carried"]
+        schema = schema.add("text", "string").add("carried", rows.schema["carried"].dataType)
+    out = rows.mapInArrow(run, schema)
+    if carry:
+        flag = F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+        return out.select(*[F.col("text").alias(c) if c == text else common.unpacked([c])[0] for c in carry], "score", flag)
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-def toxicity(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> DataFrame:
-    """Fit on labelled rows of df that aren't held out, score all rows of df: doc_id, held_out, score, predicted.
+def toxicity(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", carry: list[str] | None = None) -> DataFrame:
+    """Fit on labelled rows of df that aren't held out, score all rows of df: doc_id, held_out, score, predicted (see score).
 
     Repeated rows score alike, a null id is never held out and never learned from, an empty table gives an empty one, without
     labels every score is near 0; further columns aren't read.
     """
-    return score(df, fit(training_rows(df, labels, text, key, label)), text, key)
+    return score(df, fit(training_rows(df, labels, text, key, label)), text, key, carry)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
