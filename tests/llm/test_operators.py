@@ -1,11 +1,14 @@
 """The text operators against brute force, the libraries or SQL, on a small table with the odd cases in it."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +48,12 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def shingles(text, k):
+    """The set itself: tuples of k words, or of all words if there are fewer."""
+    w = (text or "").encode().lower().split()
+    return set(zip(*(w[i:] for i in range(k)), strict=False)) if len(w) >= k else {tuple(w)} if w else set()
+
+
 def pairs(df, *columns):
     return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
 
@@ -140,7 +149,7 @@ def test_suffix_dedup(docs, rows, empty, monkeypatch):
 
 
 def test_near_duplicates(docs, rows, empty):
-    sets = {i: minhash.shingles(minhash.words_of((t or "").encode()), 3) for i, t, *_ in rows if i is not None}
+    sets = {i: shingles(t, 3) for i, t, *_ in rows if i is not None}
     parent = {i: i for i in sets}
 
     def root(x):
@@ -224,16 +233,34 @@ def test_toxicity(marked, empty):
     assert toxicity.toxicity(df, labels.limit(0)).where("predicted = 1").count() == 0
 
 
-def test_resampling(marked, empty):
+def test_resampling(spark, marked, empty):
     df, labels = marked
     got = {r["doc_id"]: r for r in resampling.resample(df, labels, 0.5).collect()}
-    assert sum(r["selected"] for r in got.values()) == 301
-    order = sorted((r["gumbel_key"] for r in got.values()), reverse=True)
-    assert all((r["gumbel_key"] >= order[300] - 1e-5) >= r["selected"] for r in got.values())
     held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 0]
-    good, bad = ([got[i]["log_weight"] for i in held if (i % 5 != 0) == y] for y in (True, False))
-    assert min(good) > max(bad)
+    # brute force: both models, the sum of log ratios, the noise, the largest half
+    text = {r["doc_id"]: r["text"] for r in df.collect()}
+    good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1} - set(held)
+    grams = {i: [int(b) for b in resampling.buckets(pa.array([t], pa.string()))[0]] for i, t in text.items()}
+    assert all(len(g) == max(0, 2 * len((text[i] or "").split()) - 1) for i, g in grams.items())
+    raw = Counter(b for g in grams.values() for b in g)
+    target = Counter(b for i in good for b in grams[i])
+    size = 1 << resampling.BUCKET_BITS
+    ratio = lambda b: math.log((target[b] + 1) / (target.total() + size)) - math.log((raw[b] + 1) / (raw.total() + size))
+    noise = {r["doc_id"]: -math.log(-math.log(((r["h"] % (1 << 64) >> 11) + 0.5) / (1 << 53))) for r in df.select("doc_id", F.xxhash64("doc_id", F.lit(42)).alias("h")).collect()}
+    want = {i: sum(map(ratio, g)) for i, g in grams.items()}
+    assert all(abs(got[i]["log_weight"] - w) < 1e-9 * (1 + abs(w)) and got[i]["n_grams"] == len(grams[i]) for i, w in want.items())
+    keys = {i: w + noise[i] for i, w in want.items()}
+    assert all(abs(got[i]["gumbel_key"] - k) < 1e-6 for i, k in keys.items())
+    best = sorted(keys, key=keys.get, reverse=True)[:301]
+    assert {i for i, r in got.items() if r["selected"]} == set(best)
+    high, low = ([got[i]["log_weight"] for i in held if (i % 5 != 0) == y] for y in (True, False))
+    assert min(high) > max(low)
     assert resampling.resample(empty, labels).count() == 0
+    # repeated rows have one weight and verdict; further columns don't matter; without labels length means nothing
+    more = df.union(df.where("doc_id < 20")).withColumn("key", F.lit("x")).withColumn("selected", F.lit(1)).withColumn("n_grams", F.lit(0))
+    again = resampling.resample(more, labels, 0.5).collect()
+    assert len(again) == 622 and all(len({(r["log_weight"], r["selected"]) for r in again if r["doc_id"] == i}) == 1 for i in range(20))
+    assert {r["log_weight"] for r in resampling.resample(df, labels.limit(0)).collect()} == {0.0}
 
 
 def test_group_of_near_copies_around_the_threshold(spark):
@@ -248,7 +275,7 @@ def test_group_of_near_copies_around_the_threshold(spark):
         out.append(copy)
         if r.random() < 0.2:
             out.append(copy[:100] + [r.choice(words)] + copy[101:])
-    sets = [minhash.shingles(c, 3) for c in out]
+    sets = [shingles(" ".join(c), 3) for c in out]
     label = list(range(len(out)))
     for i, x in enumerate(sets):
         for j in range(i):
