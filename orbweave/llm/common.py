@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import time
 import uuid
@@ -17,14 +18,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Python code works on slices of an Arrow batch of about so many bytes, whatever the batch's size.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+#: Rows and bytes of an Arrow batch, at most.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a temporary folder if driver and executors
+    are one process (tests); on a cluster that would be each machine's own, so it is refused."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="orbweave-")
         context._conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -37,8 +43,26 @@ def new_folder(spark: SparkSession, tag: str) -> str:
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, survives lost executors."""
     path = new_folder(df.sparkSession, tag)
+    small_batches(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written() tables whose readers have been written themselves."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows that go to Python at once have a bound in number and bytes: batches lie beside the executor's heap, several a task."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(spark.conf.get(key).rstrip("bB")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def release_shuffles(spark: SparkSession) -> None:
@@ -50,6 +74,7 @@ def release_shuffles(spark: SparkSession) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -81,6 +106,12 @@ def give_back() -> None:
         trim(0)
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """Column names that aren't among those taken."""
+    low = {c.lower() for c in taken}
+    return [next(x for n in range(len(low) + 1) if (x := f"{w}_{n}") not in low) for w in wanted]
+
+
 def carried(columns: list[str]) -> Column:
     """Columns that pass through a map of rows as one, whatever their names."""
     return F.struct(F.lit(0).alias("_"), *[F.col(c) for c in columns]).alias("carried")
@@ -90,15 +121,15 @@ def unpacked(columns: list[str]) -> list[Column]:
     return [F.col("carried").getField(c).alias(c) for c in columns]
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of whole rows, each of at most SLICE_BYTES of text unless one row alone has more."""
+def text_slices(batch: pa.RecordBatch, column: str = "text", size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows, each of at most `size` (SLICE_BYTES) bytes of text unless one row alone has more."""
     n = batch.num_rows
     if not n:
         return
     ends = text_offsets(batch.column(batch.schema.get_field_index(column)))
     begin = 0
     while begin < n:
-        stop = int(np.searchsorted(ends, ends[begin] + SLICE_BYTES, side="right")) - 1
+        stop = int(np.searchsorted(ends, ends[begin] + (size or SLICE_BYTES), side="right")) - 1
         stop = min(n, max(begin + 1, stop))
         yield batch.slice(begin, stop - begin)
         begin = stop
