@@ -3,13 +3,15 @@
 Each item-sized window of the benchmark is a set of word shingles; a document window contains it only if it has all of them, so
 the window's rarest shingle, by its count over all documents, is a sufficient prefix. Documents are probed for those shingles
 only. A found shingle fixes the place of the window (positional bound), which must lie in the document (length bound); then the
-words are compared. The benchmark is taken in blocks of bounded size, each broadcast and passed over all documents.
+words are compared. The benchmark is taken in blocks of bounded size; each is broadcast, passed over all documents, and leaves a
+table of the documents that it hits.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -18,12 +20,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm import common
+from orbweave.llm.hashing import M1, mix
+from orbweave.llm.minhash import text_hash
 
 WINDOW = 13
-#: Words of a shingle; a block has fewer than 2^21 different words, so three word numbers make an exact 63-bit key.
-SHINGLE, WORD_BITS = 3, 21
+#: Words of a shingle.
+SHINGLE = 3
 #: Bytes of benchmark text in a block, about: what is broadcast at once has this bound.
 BLOCK_BYTES = 8 << 20
+#: Hit documents that are broadcast, at most; more are joined by a shuffle.
+BROADCAST_HITS = 1_000_000
 TABLE = bytes(0x20 if c < 0x30 or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
 
@@ -32,16 +38,30 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(TABLE).split()
 
 
+IN_WORD = np.frombuffer(TABLE, np.uint8) != 0x20
+
+
+def word_counts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Number of words of each text data[at[i] : at[i + 1]]."""
+    solid = IN_WORD[data]
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    edges = at[:-1][at[:-1] < len(data)]
+    first[edges] = solid[edges]
+    return np.diff(np.searchsorted(np.flatnonzero(first), at))
+
+
 def shingle_keys(words: np.ndarray, size: int) -> np.ndarray:
-    """Exact keys of `size` adjacent word numbers; 0 where a word isn't one of the block's."""
+    """Keys of `size` adjacent word numbers; 0 where a word isn't one of the block's. Keys only find places: words are compared
+    there."""
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    key, known = words[:n].copy(), words[:n] > 0
-    for i in range(1, size):
-        key = key << WORD_BITS | words[i : i + n]
+    key, known = np.full(n, size, np.uint64), np.ones(n, bool)
+    for i in range(size):
+        key = mix(key * M1 + words[i : i + n].astype(np.uint64))
         known &= words[i : i + n] > 0
-    return np.where(known, key, 0)
+    return np.where(known, key >> np.uint64(1) | np.uint64(1), np.uint64(0)).view(np.int64)
 
 
 class Block:
@@ -50,8 +70,6 @@ class Block:
     def __init__(self, items: list[tuple[str, str | None]], window: int):
         split = [(str(i), words_of((t or "").encode())) for i, t in items]
         self.number = {w: n for n, w in enumerate(sorted(set(chain.from_iterable(w for _, w in split))), 1)}
-        if len(self.number) >= 1 << WORD_BITS:
-            raise ValueError("a block of the benchmark has too many different words")
         found: dict[int, dict[tuple, set]] = {}
         for item, words in split:
             n = min(window, len(words))
@@ -134,7 +152,7 @@ def count_shingles(docs: DataFrame, block) -> dict[tuple[int, int], int]:
 
 
 def probe(docs: DataFrame, block) -> DataFrame:
-    """Adds the block's occurrences to spans (pairs of word positions) and items."""
+    """The documents (doc_id, text_hash) that the block hits, with spans (pairs of word positions) and items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.let_go()
@@ -144,55 +162,99 @@ def probe(docs: DataFrame, block) -> DataFrame:
                 words, bounds = slices_of_words(part, b)
                 doc = np.repeat(np.arange(part.num_rows), np.diff(bounds))
                 begin, end = bounds[doc], bounds[doc + 1]
-                spans = [[] if x is None else [x] for x in part.column(2).to_pylist()]
-                items = [set(x or ()) for x in part.column(3).to_pylist()]
+                spans: dict[int, list] = {}
+                items: dict[int, set] = {}
                 for n in b.windows:
                     start, window = b.occurrences(n, words, begin, end)
                     for s, w, d in zip(start.tolist(), window.tolist(), doc[start].tolist(), strict=True):
-                        spans[d].append(np.array([s - bounds[d], s - bounds[d] + n], np.int64).tobytes())
-                        items[d].update(b.items[n][w])
-                columns = [part.column(0), part.column(1), pa.array([b"".join(x) or None for x in spans], pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(np.diff(bounds))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "spans", "items", "n_words"])
+                        spans.setdefault(d, []).append((s - bounds[d], s - bounds[d] + n))
+                        items.setdefault(d, set()).update(b.items[n][w])
+                hit = sorted(spans)
+                columns = [*(part.column(c).take(pa.array(hit, pa.int64())) for c in (0, 1)), pa.array([np.array(spans[d], np.int64).tobytes() for d in hit], pa.binary()), pa.array([sorted(items[d]) for d in hit], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "spans", "items"])
+
+    return docs.mapInArrow(run, "doc_id long, text_hash long, spans binary, items array<string>")
 
-    return docs.mapInArrow(run, "doc_id long, text string, spans binary, items array<string>, n_words long")
 
+def summed(hits: DataFrame) -> DataFrame:
+    """Per hit document: n_hit, n_items, items_sha256, over all blocks' spans and items."""
 
-def hits(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_hit = []
-            for spans, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                edge = np.zeros((n or 0) + 1, np.int64)
-                for a, z in np.frombuffer(spans or b"", np.int64).reshape(-1, 2).tolist():
-                    edge[a] += 1
-                    edge[z] -= 1
-                n_hit.append(int((np.cumsum(edge)[:-1] > 0).sum()))
-            items = batch.column(3).to_pylist()
-            sha = [hashlib.sha256(",".join(sorted(x or ())).encode()).hexdigest() for x in items]
-            columns = [batch.column(0), batch.column(2), pa.array(n_hit, pa.int64()), pa.array([len(x or ()) for x in items], pa.int64()), pa.array(sha)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
-
-    return docs.select("doc_id", "spans", "n_words", "items").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
+            n_hit, n_items, sha = [], [], []
+            for spans, items in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                a, z = np.frombuffer(b"".join(spans), np.int64).reshape(-1, 2).T
+                edge = np.zeros(int(z.max()) + 1, np.int64)
+                np.add.at(edge, a, 1)
+                np.add.at(edge, z, -1)
+                n_hit.append(int((np.cumsum(edge) > 0).sum()))
+                own = sorted(set(chain.from_iterable(items)))
+                n_items.append(len(own)), sha.append(hashlib.sha256(",".join(own).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string())], ["hit_id", "hit_hash", "n_hit", "n_items", "items_sha256"])
+
+    merged = hits.groupBy("doc_id", "text_hash").agg(F.collect_set("spans").alias("spans"), F.collect_list("items").alias("items"))
+    return merged.mapInArrow(run, "hit_id long, hit_hash long, n_hit long, n_items long, items_sha256 string")
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.text_slices(batch):
+                n = word_counts(*common.text_bytes(part.column(2)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64())], ["doc_id", "text_hash", "n_words"])
 
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n_words long")
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, part: int = 20, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per row of df: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and part * n_hit >= n_words).
 
-    Null and empty texts have no words and aren't contaminated; items without words have no window; repeated rows have equal
-    results, repeated items count once; an empty benchmark hits nothing; further columns aren't read.
-    """
+def hit_documents(df: DataFrame, benchmark: DataFrame, window: int, text: str, key: str, item: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, text of all rows; of documents that any window hits: hit_id, hit_hash, n_hit, n_items, items_sha256)."""
     spark = df.sparkSession
     bench = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), F.col(item_text).alias("text"))
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + size // BLOCK_BYTES
-    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.lit(None).cast("binary").alias("spans"), F.array().cast("array<string>").alias("items"))
-    out = docs
+    docs = df.select(F.col(key).cast("long").alias("doc_id"), text_hash(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
+    found = []
     for i in range(blocks):
         rows = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == i) if blocks > 1 else bench
         block = Block([(r["item"], r["text"]) for r in rows.collect()], window)
-        block.order(count_shingles(docs, spark.sparkContext.broadcast(block)))
-        out = probe(out.select("doc_id", "text", "spans", "items"), spark.sparkContext.broadcast(block))
-    return hits(out).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * part >= F.col("n_words")))
+        sent = spark.sparkContext.broadcast(block)
+        block.order(count_shingles(docs, sent))
+        sent.unpersist()
+        sent = spark.sparkContext.broadcast(block)
+        found.append(common.written(probe(docs, sent), "hits"))
+        sent.unpersist()
+    hits = common.written(summed(reduce(DataFrame.unionByName, found)), "hit-documents")
+    common.discard(*found)
+    return docs, hits
+
+
+def near(hits: DataFrame) -> DataFrame:
+    return F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits.hint("merge")
+
+
+def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, part: int = 20, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Per row of df: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and part * n_hit >= n_words).
+
+    Null and empty texts have no words and aren't contaminated; items without words have no window; repeated rows have equal
+    results, rows of one id but different texts their own; repeated items count once; an empty benchmark hits nothing; an
+    item of any length is taken whole; further columns aren't read, whatever their names.
+    """
+    docs, hits = hit_documents(df, benchmark, window, text, key, item, item_text)
+    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
+    out = counted(docs).join(near(hits), same, "left")
+    none = hashlib.sha256(b"").hexdigest()
+    out = out.select("doc_id", "n_words", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_hit", "n_items")], F.coalesce("items_sha256", F.lit(none)).alias("items_sha256"))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * part >= F.col("n_words")))
+
+
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, part: int = 20, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """df's rows, all columns, without the contaminated ones (as in decontaminate)."""
+    docs, hits = hit_documents(df, benchmark, window, text, key, item, item_text)
+    i, h = common.free_names(df.columns, "id", "hash")
+    sizes = counted(docs.join(near(hits), docs["doc_id"].eqNullSafe(hits["hit_id"]) & (docs["text_hash"] == hits["hit_hash"]), "left_semi")).distinct()
+    bad = sizes.join(near(hits), F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))).where(F.col("n_hit") * part >= F.col("n_words"))
+    gone = common.written(bad.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)), "contaminated")
+    return df.join(near(gone), df[key].cast("long").eqNullSafe(F.col(i)) & (text_hash(df[text]) == F.col(h)), "left_anti")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
