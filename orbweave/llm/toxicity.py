@@ -1,15 +1,15 @@
 """Operator 3: toxicity by compression distance.
 
-Two zstandard dictionaries are made: one of ordinary text, one of toxic text, which is the ordinary one led by the stretches that
-recur in toxic documents in ever new contexts and hardly in ordinary ones. A window is a word with its spaces, behind a fixed
-stretch that both dictionaries have, so that every window compresses. Its distance is the bytes that the toxic dictionary saves.
-What both know costs the same, so clean windows lie at 0 or below. A threshold on the distance and a logistic score on a text's
-greatest distance and number of windows beyond the threshold are calibrated on documents that the dictionaries weren't made from.
+Text is read in windows of running words. Two dictionaries are trained by zstandard: one on ordinary text, one on the windows of
+toxic documents that hold what recurs there in ever new contexts and hardly in ordinary documents. Ordinary windows that the toxic
+dictionary still shortens train a third part, which both sides get. A window is compressed with the ordinary dictionary, and with
+the toxic one in front of it, behind a fixed stretch that both have; its distance is the bytes that the toxic one saves. What both
+know costs the same, so clean windows lie at 0 or below. A text is judged by its greatest distance, its number of windows, and how
+many of them pass each threshold; the weights of these are calibrated on documents that no dictionary was made from.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -18,30 +18,45 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from orbweave.llm import common
 
-CARRIER = b"|0123456789abcdefghijklmnopqrstuvwxyz|"
-#: Labelled documents of each class to fit and calibrate on, at most; the first by a hash of their id.
-TOXIC_DOCS, ORDINARY_DOCS = 1500, 3000
-#: A stretch: bytes, least contexts (and least share of toxic documents), times as many documents as among ordinary ones.
+CARRIER = b"|0123456789|"
+#: Labelled documents of each class to fit and calibrate on, at most, the first by a hash of their id; and their bytes, at most.
+TOXIC_DOCS, ORDINARY_DOCS, FIT_BYTES = 1500, 3000, 48 << 20
+#: Bytes from which a window is full; longer words are cut into overlapping parts.
+WINDOW, LONGEST_WORD, OVERLAP = 24, 64, 16
+#: Bytes of the dictionaries, and the trainer's segment and match sizes for them.
+ORDINARY_BYTES, TOXIC_BYTES, HARD_BYTES = 16384, 3072, 2048
+ORDINARY_FIT, TOXIC_FIT = {"k": 64, "d": 8}, {"k": 16, "d": 8}
+#: Distances that windows are counted beyond; that of an ordinary window which is hard.
+THRESHOLDS, HARD = range(2, 9), 3
+#: A recurring stretch: bytes, least contexts (and least share of toxic documents), times as many documents as among ordinary ones.
 SHORTEST, LONGEST, CONTEXTS, SHARE, RATIO = 5, 12, 5, 0.01, 15
-#: Toxic documents from which on calibration has documents of its own.
-APART = 400
-#: Frequent ordinary words of the dictionaries; bytes of a window, of which longer words have several, overlapping.
-COMMON_WORDS, WINDOW, OVERLAP = 4000, 64, 16
-CACHE = 700_000
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").split() if text else []
 
 
-def windows(word: bytes) -> list[bytes]:
-    return [word] if len(word) <= WINDOW else [word[i : i + WINDOW] for i in range(0, len(word) - OVERLAP, WINDOW - OVERLAP)]
+def windows(words: list[bytes]) -> list[bytes]:
+    """Adjacent words up to WINDOW bytes or more, with a space around."""
+    out, held, size = [], [], 0
+    for w in words:
+        if len(w) > LONGEST_WORD:
+            out += [b" " + w[i : i + LONGEST_WORD] + b" " for i in range(0, len(w) - OVERLAP, LONGEST_WORD - OVERLAP)]
+            continue
+        held.append(w)
+        size += len(w) + 1
+        if size >= WINDOW:
+            out.append(b" " + b" ".join(held) + b" ")
+            held, size = [], 0
+    if held:
+        out.append(b" " + b" ".join(held) + b" ")
+    return out
 
 
 def prefixes(word: bytes) -> list[bytes]:
@@ -80,53 +95,54 @@ def recurring(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[byt
     return sorted(kept, key=lambda g: (count[g], g))
 
 
+def trained(samples: list[bytes], size: int, how: dict) -> bytes:
+    """A dictionary by zstandard's trainer; of too little text for it, the text itself."""
+    if sum(map(len, samples)) > 4 * size:
+        try:
+            return zstandard.train_dictionary(size, samples, **how).as_bytes()
+        except zstandard.ZstdError:
+            pass  # the trainer refuses samples that are too few or too short
+    return b"".join(samples)[:size]
+
+
 @dataclass(frozen=True)
 class Model:
     ordinary: bytes
     toxic: bytes
-    threshold: int
     weights: tuple[float, ...]
 
 
 class Distance:
-    """Bytes saved by the toxic dictionary, by window; a worker keeps the words it has seen, up to a bound."""
+    """Bytes that the toxic dictionary saves."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        how = zstandard.ZstdCompressionParameters(window_log=17, hash_log=17, chain_log=17, search_log=6, min_match=3, strategy=zstandard.STRATEGY_BTOPT, write_content_size=False, write_checksum=False, write_dict_id=False)
+        how = zstandard.ZstdCompressionParameters(window_log=18, hash_log=17, chain_log=17, search_log=6, min_match=3, strategy=zstandard.STRATEGY_BTOPT, write_content_size=False, write_checksum=False, write_dict_id=False)
 
         def compressor(content: bytes):
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=how)
             return zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress
 
-        self.plain, self.bad, self.seen = compressor(ordinary), compressor(toxic), {}
+        self.plain, self.bad = compressor(ordinary + CARRIER), compressor(toxic + ordinary + CARRIER)
+
+    def of(self, found: list[bytes]) -> np.ndarray:
+        plain, bad = self.plain, self.bad
+        return np.array([len(plain(x)) - len(bad(x)) for x in (CARRIER + w for w in found)], np.int64)
 
-    def word(self, word: bytes) -> int:
-        best = -WINDOW
-        for w in windows(word):
-            x = CARRIER + b" " + w + b" "
-            best = max(best, len(self.plain(x)) - len(self.bad(x)))
-        if len(self.seen) > CACHE:
-            self.seen.clear()
-        if len(word) <= WINDOW:
-            self.seen[word] = best
-        return best
+    def inputs(self, found: list[bytes]) -> list[float]:
+        x = self.of(found)
+        beyond = [np.log1p((x >= c).sum()) for c in THRESHOLDS]
+        return [1.0, float(x.max()) if len(x) else 0.0, *beyond, np.log1p(len(x))]
 
-    def text(self, words: list[bytes], threshold: int) -> tuple[int, int]:
-        """(greatest distance, windows beyond the threshold)."""
-        get = self.seen.get
-        got = [self.word(w) if (d := get(w)) is None else d for w in words]
-        return (max(got), sum(d >= threshold for d in got)) if got else (0, 0)
+    def score(self, text: str | None, weights: np.ndarray) -> float:
+        found = windows(words_of(text))
+        return float(1 / (1 + np.exp(-np.clip(weights @ self.inputs(found), -30, 30)))) if found else 0.0
 
 
 def distance(ordinary: bytes, toxic: bytes) -> Distance:
     return common.held(Distance, ordinary, toxic)
 
 
-def inputs(greatest: int, beyond: int) -> list[float]:
-    return [1.0, float(beyond > 0), math.log1p(beyond), min(max(greatest, -4), 8) / 4]
-
-
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     w = np.zeros(x.shape[1])
     penalty = ridge * np.eye(len(w))
@@ -141,79 +157,82 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def fit(rows: list[tuple[str | None, int]]) -> Model:
-    """rows: (text, label). Every other document of a class makes the dictionaries, the others calibrate; with fewer than APART
-    toxic ones all do both. Without both classes every score is near 0."""
+    """rows: (text, label). Every other document of a class makes the dictionaries, the others calibrate, however many there are.
+    Without both classes on both sides every score is near 0."""
     toxic, ordinary = ([words_of(t) for t, y in rows if y == c] for c in (1, 0))
-    apart = len(toxic) >= APART and len(ordinary) >= APART
-    made, kept = (slice(0, None, 2), slice(1, None, 2)) if apart else (slice(None), slice(None))
-    common_words = Counter(w for words in ordinary[made] for w in set(words))
-    base = b" " + b" ".join(w for w, _ in sorted(common_words.items(), key=lambda x: (-x[1], x[0]))[:COMMON_WORDS]) + b" " + CARRIER
-    if not toxic or not ordinary:
-        return Model(base, base, 1, (-30.0, 0, 0, 0))
-    found = recurring(toxic[made], ordinary[made])
-    model = (base, b"\n".join(found) + b"\n" + base)
-    d = Distance(*model)
-    held = [(w, 1) for w in toxic[kept]] + [(w, 0) for w in ordinary[kept]]
-    greatest = np.array([d.text(w, 1)[0] for w, _ in held])
-    y = np.array([y for _, y in held])
-    # the threshold that errs least
-    threshold = min(range(1, 9), key=lambda t: (((greatest >= t) != y).sum(), t))
-    x = np.array([inputs(*d.text(w, threshold)) for w, _ in held])
-    return Model(*model, threshold, tuple(logistic(x, y).tolist()))
-
-
-def held_out(key) -> F.Column:
+    if len(toxic) < 2 or len(ordinary) < 2:
+        return Model(b"", b"", (-30.0,) + (0.0,) * (len(THRESHOLDS) + 2))
+    plain = [w for words in ordinary[::2] for w in windows(words)]
+    found = [w for words in toxic[::2] for w in windows(words)]
+    marks = recurring(toxic[::2], ordinary[::2])
+    bad = trained([w for w in found if any(m in w for m in marks)] or found, TOXIC_BYTES, TOXIC_FIT)
+    base = trained([b" ".join(words) for words in ordinary[::2] if words], ORDINARY_BYTES, ORDINARY_FIT)
+    hard = [w for w, x in zip(plain, Distance(base, bad).of(plain), strict=True) if x >= HARD]
+    base = trained(hard, HARD_BYTES, TOXIC_FIT) + base
+    d = Distance(base, bad)
+    x = np.array([d.inputs(windows(w)) for half in (toxic[1::2], ordinary[1::2]) for w in half])
+    y = np.array([1] * len(toxic[1::2]) + [0] * len(ordinary[1::2]))
+    return Model(base, bad, tuple(logistic(x, y).tolist()))
+
+
+def held_out(key) -> Column:
     """The rows that nothing is learned from."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(5)) == 0
 
 
 def training_rows(df: DataFrame, labels: DataFrame, text: str, key: str, label: str) -> list[tuple[str | None, int]]:
-    """Labelled rows that aren't held out, at most TOXIC_DOCS and ORDINARY_DOCS; only ids are sorted, then texts looked up."""
-    known = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    """Labelled rows that aren't held out, at most TOXIC_DOCS and ORDINARY_DOCS of at most FIT_BYTES in all; ids and lengths are
+    ranked, then texts looked up. Of an id's texts the least counts, of its labels the greatest."""
+    known = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    order = F.xxhash64("doc_id")
-    chosen = {y: known.where(F.col("y") == y).join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(order, "doc_id").limit(n) for y, n in ((1, TOXIC_DOCS), (0, ORDINARY_DOCS))}
-    ids = {r["doc_id"]: int(r["y"]) for x in chosen.values() for r in x.collect()}
+    sizes = docs.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("size"))
+    place = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ranked = sizes.join(known, "doc_id").withColumn("place", place).where(F.col("place") <= F.when(F.col("y") == 1, TOXIC_DOCS).otherwise(ORDINARY_DOCS))
+    ids, total = {}, 0
+    for r in sorted(ranked.collect(), key=lambda r: (r["place"] / (TOXIC_DOCS if r["y"] == 1 else ORDINARY_DOCS), r["y"])):
+        if total + (r["size"] or 0) <= FIT_BYTES:
+            ids[r["doc_id"]], total = int(r["y"]), total + (r["size"] or 0)
     wanted = df.sparkSession.createDataFrame(list(ids.items()), "doc_id long, y int")
-    rows = docs.join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"]).collect()  # no more than the bound
+    rows = docs.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).collect()  # no more than the bounds
     return [(r["text"], r["y"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
-def score(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
-    """Per row: doc_id, held_out, score, predicted, and in place of doc_id and held_out the columns to carry, if any. Null and
-    empty texts have the score of no window beyond the threshold."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
+def scored(df: DataFrame, model: Model, text: Column, through: list[Column]) -> DataFrame:
+    """The columns to pass through, and score; null and empty texts have no window and the score 0."""
+    spark = df.sparkSession
+    common.small_batches(spark)
+    sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        d = distance(m.ordinary, m.toxic)
-        w = np.array(m.weights)
+        d, w = distance(m.ordinary, m.toxic), np.array(m.weights)
         for batch in batches:
             for part in common.text_slices(batch):
-                x = np.array([inputs(*d.text(words_of(t), m.threshold)) for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-x @ w))), *part.columns[1 if carry else 2 :]], names)
-
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    names, schema = ["doc_id", "score"], StructType().add("doc_id", "long").add("score", "double")
-    if carry:
-        rest = [c for c in carry if c != text]
-        rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), common.carried(rest))
-        names = [*names, "text", "carried"]
-        schema = schema.add("text", "string").add("carried", rows.schema["carried"].dataType)
-    out = rows.mapInArrow(run, schema)
-    if carry:
-        flag = F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
-        return out.select(*[F.col("text").alias(c) if c == text else common.unpacked([c])[0] for c in carry], "score", flag)
-    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
-
-
-def toxicity(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", carry: list[str] | None = None) -> DataFrame:
-    """Fit on labelled rows of df that aren't held out, score all rows of df: doc_id, held_out, score, predicted (see score).
-
-    Repeated rows score alike, a null id is never held out and never learned from, an empty table gives an empty one, without
-    labels every score is near 0; further columns aren't read.
+                values = pa.array([d.score(t, w) for t in part.column(0).to_pylist()], pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns, values], [*part.schema.names, "score"])
+
+    rows = df.select(text.alias("text"), F.struct(F.lit(0).alias("_"), *through).alias("through"))
+    schema = StructType().add("text", "string").add("through", rows.schema["through"].dataType).add("score", "double")
+    return rows.mapInArrow(run, schema)
+
+
+def toxicity(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> DataFrame:
+    """Fit on labelled rows of df that aren't held out, score all rows of df: doc_id, held_out, score, predicted (1 from 0.5 on).
+
+    Null and empty texts score 0. Equal texts score alike, so do repeated rows; a null id is never held out and never learned
+    from; texts of any length are read whole; an empty table gives an empty one; without labels every score is near 0;
+    further columns aren't read, whatever their names.
     """
-    return score(df, fit(training_rows(df, labels, text, key, label)), text, key, carry)
+    out = scored(df, fit(training_rows(df, labels, text, key, label)), F.col(text), [F.col(key).cast("long").alias("doc_id")])
+    key_of = F.col("through.doc_id")
+    return out.select(key_of.alias("doc_id"), F.coalesce(held_out(key_of), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def drop_toxic(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> DataFrame:
+    """df's rows, all columns, that toxicity() doesn't predict toxic."""
+    rest = [c for c in df.columns if c != text]
+    out = scored(df, fit(training_rows(df, labels, text, key, label)), F.col(text), [df[c] for c in rest]).where("score < 0.5")
+    return out.select(*[F.col("text").alias(c) if c == text else F.col("through").getField(c).alias(c) for c in df.columns])
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
