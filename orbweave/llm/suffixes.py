@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from orbweave.llm import common
 
@@ -359,7 +360,7 @@ def runs_gone(blobs: list[bytes] | None, size: int) -> tuple[np.ndarray, np.ndar
 
 
 def suffix_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", with_text: bool = True, carry: list[str] | None = None) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, with with_text the remaining `text`, and the columns to carry.
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, with with_text the remaining `text` (null for null), and the columns to carry.
 
     Each byte covered by a 50-byte string that also starts in a document of smaller doc_id is removed; strings are judged on
     the input. A null text is an empty one; texts under 50 bytes stay. Rows of a null id neither lose bytes nor cause it, nor do
@@ -367,7 +368,7 @@ def suffix_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", with_te
     in the digest. Empty tables give empty ones; further columns aren't read.
     """
     spark = df.sparkSession
-    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(c) for c in carry or []]).alias("carried"))
+    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(F.col(text).isNull().alias("none"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry or [])]).alias("carried"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(16, total // RANGE_BYTES)
     by_part = lambda rows, f: rows.groupBy("part").applyInArrow(lambda table: pa.Table.from_batches([*f(table, parts)], schema=empty.schema), OUT)
@@ -398,9 +399,22 @@ def suffix_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", with_te
                 yield pa.RecordBatch.from_arrays([*made, part.column(3)], names)
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "carried"]
-    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, carried {docs.schema['carried'].dataType.simpleString()}"
+    schema = StructType()
+    for name, kind in zip(names, ["long"] * 4 + ["string"] * 2 + [docs.schema["carried"].dataType], strict=True):
+        schema = schema.add(name, kind)
     out = docs.join(gone, ["doc_id", "text_hash"], "left").select("doc_id", "text", "blobs", "carried").mapInArrow(run, schema)
-    return out.select(*names[: 6 if with_text else 5], *[F.col("carried").getField(c).alias(c) for c in carry or []])
+    own = [F.col("carried").getField(f"c{i}").alias(c) for i, c in enumerate(carry or [])]
+    left = F.when(~F.col("carried.none"), F.col("text")).alias("text")
+    return out.select(*names[:5], *([left] if with_text else []), *own)
+
+
+def cut_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", n_chars: str | None = None) -> DataFrame:
+    """df's rows, all columns, with the text that suffix_dedup() leaves, and its number of characters in a column n_chars, if
+    there is one of that name."""
+    marked = df.select(F.col(key).alias("id"), F.col(text).alias("body"), F.struct(F.lit(0).alias("_"), *[df[c] for c in df.columns if c != text]).alias("row"))
+    cut = suffix_dedup(marked, text="body", key="id", carry=["row"])
+    size = lambda c: F.length("text").cast(df.schema[c].dataType)
+    return cut.select(*[F.col("text").alias(c) if c == text else size(c).alias(c) if c == n_chars else F.col("row").getField(c).alias(c) for c in df.columns])
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
