@@ -30,9 +30,10 @@ CACHE_CHARS = 64
 LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f"
 DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\s{LETTERS}{DIGITS}]+")
-#: Characters for which the library's own normalizer and splitter are asked: all from U+0250, the dotted capital I, and four
-#: that are white space to Python only.
-ODD = re.compile("[\u0250-\U0010ffff\u0130\x1c-\x1f]")
+#: Characters for which the library's own normalizer and splitter are asked: all from U+0250, those below whose small letter is
+#: from U+0250, and four that are white space to Python only.
+BEYOND = "".join(chr(c) for c in range(0x250) if max(chr(c).lower()) >= "\u0250")
+ODD = re.compile(f"[\u0250-\U0010ffff{BEYOND}\x1c-\x1f]")
 SPACE = re.compile("[ \t\n\r]+")
 
 

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +68,21 @@ def test_token_counts(docs, rows, empty):
     assert bpe.count_tokens(empty, bpe.word_vocabulary()).count() == 0
 
 
+def test_every_character_below_u0250():
+    """Alone, beside letters, between them, beside digits and signs: counts and ids are the library's."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(bpe.word_vocabulary())
+    counter, coder = bpe.MergeCounter(bpe.word_vocabulary()), bpe.WordEncoder(bpe.word_vocabulary())
+    texts = [t for c in map(chr, range(0x250)) for t in (c, "a" + c, c + "b", "AB" + c + "cd", c + c, "1" + c + "2", "." + c + "!", "é" + c + "Ł x")]
+    r = random.Random(8)
+    texts += ["".join(chr(r.randrange(0x20, 0x250)) for _ in range(r.randint(1, 12))) for _ in range(3000)]
+    texts += ["".join(r.choice("aBé Ɓ1'.ſ<>s|\u0301\u1e9eİ日") for _ in range(r.randint(1, 12))) for _ in range(3000)]
+    want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert [counter.count(t) for t in texts] == [len(w) for w in want]
+    assert [np.frombuffer(x, coder.dtype).tolist() for x in coder.encode(texts)] == want
+
+
 def test_token_files(spark, docs, rows, empty, tmp_path):
     from tokenizers import Tokenizer
 
@@ -82,8 +98,6 @@ def test_token_files(spark, docs, rows, empty, tmp_path):
             assert (r["start"], r["n_tokens"], r["ids"]) == (at, len(want), want)
             at += len(want)
     digest = bpe.ids_digest
-    import numpy as np
-
     assert digest(np.array([1, 2], "<u2"))["ids_crc32"] == zlib.crc32(b"\1\0\0\0\2\0\0\0")
 
 
