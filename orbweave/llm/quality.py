@@ -105,11 +105,12 @@ def fences(sketch: DataFrame, group: list[str]) -> DataFrame:
     return wide.groupBy(*group).agg(F.max("rows").alias("rows"), *made)
 
 
-def adaptive_rules(df: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", source: str = "source") -> DataFrame:
+def adaptive_rules(df: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", source: str = "source", least_rows: int = LEAST_ROWS) -> DataFrame:
     """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     base_failed: under 50 words, or over half of the words in repeated 3-word windows. Other rows are kept if all measures lie
-    within the fences of their language and source. Null languages and sources are groups of their own; a null or empty text
+    within the fences of their language and source; a group of fewer than least_rows rows takes its language's, and a language of
+    fewer those of all rows. Null languages and sources are groups of their own; a null or empty text
     has no words and fails; equal values make equal fences, which nothing lies beyond; repeated rows are judged alike; an
     empty table gives an empty one; further columns aren't read.
     """
@@ -119,7 +120,7 @@ def adaptive_rules(df: DataFrame, text: str = "text", key: str = "doc_id", lang:
     small = sketch.select("lang", "source").distinct().count() <= BROADCAST_GROUPS
     near = lambda x: F.broadcast(x) if small else x
     names = [c for c in own.columns if c not in ("lang", "source", "rows")]
-    renamed = lambda x, tag, keys: x.select(*[F.col(k).alias(f"{tag}_{k}") for k in keys], *[F.when(F.col("rows") >= LEAST_ROWS, F.col(c)).alias(f"{tag}_{c}") for c in names])
+    renamed = lambda x, tag, keys: x.select(*[F.col(k).alias(f"{tag}_{k}") for k in keys], *[F.when(F.col("rows") >= least_rows, F.col(c)).alias(f"{tag}_{c}") for c in names])
     out = rows.join(near(renamed(own, "s", ["lang", "source"])), F.col("lang").eqNullSafe(F.col("s_lang")) & F.col("source").eqNullSafe(F.col("s_source")), "left")
     out = out.join(near(renamed(by_lang, "l", ["lang"])), F.col("lang").eqNullSafe(F.col("l_lang")), "left")
     total = over_all.first()

@@ -16,8 +16,6 @@ from orbweave.llm import common
 
 TOP = 1 << 63
 FIRST_BINS, NEXT_BINS = 4096, 256
-#: Rows that one task ranks; larger shards are ranked in several parts.
-PART_ROWS = 1_000_000
 
 
 def sort_key(text: Column, key: Column) -> Column:
@@ -81,8 +79,8 @@ def even_splitters(keys: DataFrame, parts: int, tolerance: float) -> list[int]:
     return find_splitters(keys, [total * i // parts for i in range(1, parts)], tolerance * total / parts)
 
 
-def shard_of(splitters: list[int]) -> Column:
-    found = [F.when(F.col("key") >= F.lit(s), 1).otherwise(0) if s < TOP else F.lit(0) for s in splitters]
+def shard_of(splitters: list[int], key: str = "key") -> Column:
+    found = [F.when(F.col(key) >= F.lit(s), 1).otherwise(0) if s < TOP else F.lit(0) for s in splitters]
     return sum(found, F.lit(0)).cast("int")
 
 
@@ -91,33 +89,43 @@ def keyed(df: DataFrame, overhead: int, text: str = "text", key: str = "doc_id")
     return df.select(F.col(key).cast("long").alias("doc_id"), byte_size(kept, overhead).alias("size"), F.crc32(F.coalesce(kept, F.lit("")).cast("binary")).alias("text_crc32"), sort_key(kept, F.col(key)).alias("key"))
 
 
+def ranked(placed: DataFrame) -> DataFrame:
+    """Adds slot, the place in the shard by (key, doc_id, text_crc32). Rows are dealt into ranges of that order, counted by range
+    and numbered within each, so no task holds a shard and slots don't depend on where the ranges end."""
+    order = [F.col(c) for c in ("key", "doc_id", "text_crc32")]
+    dealt = common.written(placed.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "shard-ranges")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # as many rows as ranges and shards
+    bases = dealt.groupBy("shard", "part").agg(F.count("*").alias("n")).select("shard", "part", before.alias("base"))
+    within = F.row_number().over(Window.partitionBy("shard", "part").orderBy(*order)) - 1
+    return dealt.withColumn("within", within).join(bases, ["shard", "part"]).withColumn("slot", (F.col("within") + F.col("base")).cast("long"))
+
+
 def assign_shards(df: DataFrame, shards: int = 40, overhead: int = 16, tolerance: float = 0.001, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law).
 
     Size is the UTF-8 bytes of the text plus overhead; a null text has none. Shards are ranges of the sort key, slots number the
-    rows of a shard from 0 without gaps. Repeated rows each get a slot; rows of equal key and text have one sort key and are
-    never parted. An empty table gives an empty one; with fewer rows than shards some stay empty. Further columns aren't read.
+    rows of a shard from 0 without gaps in its order. Repeated rows each get a slot; rows of equal key and text have one sort key
+    and are never parted; a null key has the hash of null. An empty table gives an empty one; with fewer rows than shards some
+    stay empty. Further columns aren't read, whatever their names.
     """
     rows = common.written(keyed(df, overhead, text, key), "shard-keys")
-    splitters = even_splitters(rows, shards, tolerance)
-    parts = max(1, -(-rows.count() // (shards * PART_ROWS)))
-    placed = rows.withColumn("shard", shard_of(splitters)).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
-    ranked = placed.withColumn("slot", F.row_number().over(Window.partitionBy("shard", "part").orderBy("key", "doc_id", "text_crc32")).cast("long") - 1)
-    if parts > 1:
-        before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        bases = placed.groupBy("shard", "part").agg(F.count("*").alias("n")).select("shard", "part", before.alias("base"))
-        ranked = ranked.join(bases, ["shard", "part"]).withColumn("slot", F.col("slot") + F.col("base"))
-    return ranked.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    placed = ranked(rows.withColumn("shard", shard_of(even_splitters(rows, shards, tolerance))))
+    common.discard(rows)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def write_shards(df: DataFrame, path: str, shards: int = 40, overhead: int = 16, tolerance: float = 0.001, text: str = "text", key: str = "doc_id") -> None:
+def write_shards(df: DataFrame, path: str, shards: int = 40, overhead: int = 16, tolerance: float = 0.001, text: str = "text", key: str = "doc_id") -> str:
     """Write df, all its columns, as one folder a shard, sorted by the sort key: the splitters come from the keys alone, so the
-    texts are exchanged once. df must have no column named shard, part or key."""
+    texts are exchanged once, in ranges of the sort key. Returns the name of the folders' column: shard_0, or one with a higher
+    number if df has that."""
     rows = common.written(keyed(df, overhead, text, key), "shard-keys")
     splitters = even_splitters(rows, shards, tolerance)
-    parts = max(1, -(-rows.count() // (shards * PART_ROWS)))
-    placed = df.withColumn("key", sort_key(F.col(text), F.col(key))).withColumn("shard", shard_of(splitters)).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
-    placed.repartition("shard", "part").sortWithinPartitions("shard", "key").drop("key", "part").write.partitionBy("shard").parquet(path)
+    common.discard(rows)
+    name, place = common.free_names(df.columns, "shard", "key")
+    placed = df.withColumn(place, sort_key(df[text], df[key])).withColumn(name, shard_of(splitters, place))
+    placed.repartitionByRange(place).sortWithinPartitions(place).drop(place).write.partitionBy(name).parquet(path)
+    return name
 
 
 def op7_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

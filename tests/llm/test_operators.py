@@ -189,7 +189,7 @@ def test_components(spark):
     assert pairs(minhash.components(links), "v", "label") == sorted([(i, 1) for i in range(1, 41)] + [(i, 100) for i in (100, 101, 102)], key=str)
 
 
-def test_shards(docs, rows, empty):
+def test_shards(spark, docs, rows, empty, tmp_path):
     got = shards.assign_shards(docs, 5).collect()
     assert len(got) == len(rows)
     for s in {r["shard"] for r in got}:
@@ -197,6 +197,35 @@ def test_shards(docs, rows, empty):
     want = sorted(((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, *_ in rows), key=str)
     assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in got), key=str) == want
     assert shards.assign_shards(empty).count() == 0
+    # whole rows, with columns named shard and key, in the same shards
+    name = shards.write_shards(docs, f"file://{tmp_path}/s", 5)
+    back = spark.read.parquet(f"file://{tmp_path}/s")
+    assert pairs(back, "doc_id", "text", "shard", "key") == pairs(docs, "doc_id", "text", "shard", "key")
+    of = {(r["doc_id"], r["text_crc32"]): r["shard"] for r in got}
+    assert all(of[r["doc_id"], zlib.crc32((r["text"] or "").encode())] == r[name] for r in back.collect())
+
+
+def test_shards_against_a_sort(spark):
+    """Bytes, slots and groups by brute force, with ties, repeated rows, and a text that a third of the rows have."""
+    r = random.Random(2)
+    rows = [(i, "hot " * 20 if i % 3 == 0 else "x" * r.randint(0, 120)) for i in range(1200)] + [(7, "x")] * 5 + [(None, "y"), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    key = {(k["doc_id"], k["text"]): k["key"] for k in df.withColumn("key", shards.sort_key(F.col("text"), F.col("doc_id"))).collect()}
+    order = sorted(rows, key=lambda x: (key[x], x[0] is not None, x[0] or 0, zlib.crc32((x[1] or "").encode())))
+    results = []
+    for parts in ("3", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        results.append(pairs(shards.assign_shards(df, 6, tolerance=0.01), "doc_id", "size", "text_crc32", "shard", "slot"))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert results[0] == results[1]
+    size = [0] * 6
+    for _, n, _, s, _ in results[0]:
+        size[s] += n
+    assert max(size) - min(size) <= 0.02 * sum(size) / 6 + 2 * 136, size
+    ranked = sorted(results[0], key=lambda x: (x[3], x[4]))
+    assert [(i, zlib.crc32((t or "").encode())) for i, t in order] == [(x[0], x[2]) for x in ranked]
+    hot = {s for _, _, c, s, _ in results[0] if c == zlib.crc32(b"hot " * 20)}
+    assert hot == set(range(min(hot), max(hot) + 1))
 
 
 def test_splitters_of_a_hot_key(spark):
@@ -216,6 +245,16 @@ def test_quality_rules(docs, rows, empty):
     assert quality.adaptive_rules(empty).count() == 0
 
 
+def test_fences_of_small_groups(spark):
+    """A group of least_rows rows has fences of its own, one row less takes its language's."""
+    r = random.Random(4)
+    text = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(n)) for _ in range(60))
+    rows = [(i, text(5), "en", "plain") for i in range(300)] + [(1000 + i, text(40), "en", "long") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = lambda n: quality.adaptive_rules(df, least_rows=n).where("kept AND doc_id >= 1000").count()
+    assert (kept(30), kept(31)) == (30, 0)
+
+
 def test_sketch_buckets(spark):
     v = spark.range(0, 70000, 7).withColumn("b", quality.bucket(F.col("id"))).withColumn("low", quality.least_of(F.col("b")))
     assert v.where("low > id OR (id - low) * 100 > id").count() == 0
