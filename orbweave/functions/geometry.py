@@ -20,8 +20,14 @@ def nearest(d: Column, length: float) -> Column:
     return F.when(d > half, d - length).when(d < -half, d + length).otherwise(d)
 
 
+def apart(d: Column, length: float) -> Column:
+    """Size of the nearest image of a separation: |nearest(d)|, without branches."""
+    a = F.abs(d)
+    return F.least(a, F.abs(F.lit(float(length)) - a))
+
+
 def distance2(a: Sequence[Column], b: Sequence[Column], box: Box) -> Column:
-    dx, dy, dz = (nearest(p - q, length) for p, q, length in zip(a, b, box, strict=True))
+    dx, dy, dz = (apart(p - q, length) for p, q, length in zip(a, b, box, strict=True))
     return dx * dx + dy * dy + dz * dz
 
 
@@ -66,18 +72,18 @@ def clamped(x: Column, length: float) -> Column:
     return F.greatest(F.lit(0.0), F.least(x, F.lit(math.nextafter(length, -math.inf))))
 
 
-def _axis_gap(centre: Column, point: Column, width: float, length: float) -> tuple[Column, Column]:
-    d = F.abs(nearest(centre - point, length))
-    return F.greatest(d - width / 2, F.lit(0.0)), F.least(d + width / 2, F.lit(length / 2))
-
-
-def cell_within(centre: Sequence[Column], point: Sequence[Column], widths: Box, box: Box, radius: float) -> Column:
-    """Every place of the cell is in the sphere."""
-    far = [_axis_gap(c, p, w, length)[1] for c, p, w, length in zip(centre, point, widths, box, strict=True)]
-    return sum((f * f for f in far[1:]), far[0] * far[0]) <= F.lit(radius * radius * (1 - 1e-12))
+def cell_gaps(ijk: Sequence[Column], point: Sequence[Column], cells: Sequence[int], box: Box) -> tuple[Column, Column]:
+    """Squares of the least and greatest distance from a point to any place of a cell, rounded outwards."""
+    near, far = [], []
+    for i, p, n, length in zip(ijk, point, cells, box, strict=True):
+        half, slack = length / n / 2, length * 1e-12
+        d = apart((i + 0.5) * F.lit(length / n) - p, length)
+        near.append(F.greatest(d - (half + slack), F.lit(0.0)))
+        far.append(F.least(d + (half + slack), F.lit(length / 2 + slack)))
+    square = lambda v: v[0] * v[0] + v[1] * v[1] + v[2] * v[2]
+    return square(near), square(far)
 
 
-def cell_beyond(centre: Sequence[Column], point: Sequence[Column], widths: Box, box: Box, radius: float) -> Column:
-    """No place of the cell is in the sphere."""
-    near = [_axis_gap(c, p, w, length)[0] for c, p, w, length in zip(centre, point, widths, box, strict=True)]
-    return sum((n * n for n in near[1:]), near[0] * near[0]) > F.lit(radius * radius * (1 + 1e-12))
+def spheres_beyond(r2: Column, radii: Sequence[float]) -> Column:
+    """How many of ascending radii a squared distance is beyond: the number of the first sphere that holds it, or their number."""
+    return sum((~in_sphere(r2, r)).cast("int") for r in radii)
