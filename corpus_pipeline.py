@@ -51,7 +51,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sentencepiece", to_pieces),
 ]
 
-#: A trained model, hashed bands and a tokenizer aren't expressible in SQL. tests/llm holds the operators, not yet the whole run, against brute force.
+#: A trained model and a tokenizer aren't expressible in SQL; tests/llm/test_pipeline.py holds each stage and the whole run against
+#: brute force.
 ORACLE_SQL = None
 
 
