@@ -100,6 +100,7 @@ class Job:
     density: float
     snapshot: int
     write_masses: bool
+    gap_fraction: float = 0.01
 
 
 def job(path: str, snapshot: int = 0) -> Job:
@@ -112,7 +113,7 @@ def job(path: str, snapshot: int = 0) -> Job:
     if grid.file:
         grid = GridSpec(grid.kind, grid.radii, file=put(grid.file), seed=grid.seed)
     density = mean_density(*(p.get(f"Cosmology/{k}", float) for k in ("h", "Omega_cdm", "Omega_b")))
-    return Job(grid, put(p.get("Input/filepath", str)), put(p.get("Output/filepath", str).rstrip("/") + "/" + p.get("Output/basename", str)), density, snapshot, p.get("Output/write_masses", bool, False))
+    return Job(grid, put(p.get("Input/filepath", str)), put(p.get("Output/filepath", str).rstrip("/") + "/" + p.get("Output/basename", str)), density, snapshot, p.get("Output/write_masses", bool, False), p.get("Input/part_gap_fill_fraction", float, 0.01))
 
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:

@@ -60,11 +60,11 @@ def bucket_number(p: Sequence[Column], box: Box, cells: Sequence[int]) -> Column
     return cell_number(axis, cells)
 
 
-def inside_box(p: Sequence[Column], box: Box) -> Column:
+def inside_box(p: Sequence[Column], box: Box, low: float = 0.0) -> Column:
     """Half-open on every axis."""
     out = F.lit(True)
     for x, length in zip(p, box, strict=True):
-        out = out & (x >= 0) & (x < F.lit(float(length)))
+        out = out & (x >= F.lit(low)) & (x < F.lit(float(length)))
     return out
 
 

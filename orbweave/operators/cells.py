@@ -72,13 +72,18 @@ def chunks(cells: DataFrame, gap: float = -1.0) -> DataFrame:
 
 
 def balanced_ranges(counts: DataFrame, parts: int) -> DataFrame:
-    """(cid, rank): cells in order fill a rank until it has its share of rows or more. counts: cid, n."""
+    """(cid, rank): cells in order fill a rank until it has its share of rows or more. counts: cid, n.
+
+    Where a rank ends depends on where the one before it ended, so the ends are found in order, in one fold that keeps only them;
+    cells are then told their rank by the ends.
+    """
     share = counts.agg(F.expr(f"sum(n) div {parts}").alias("share"))
     listed = counts.agg(F.array_sort(F.collect_list(F.struct("cid", "n"))).alias("cells")).crossJoin(F.broadcast(share))
-    fold = f"""aggregate(cells, named_struct('rank', 0L, 'have', 0L, 'out', cast(array() as array<struct<cid:bigint,rank:bigint>>)),
-      (a, c) -> named_struct('rank', IF(a.have + c.n >= share AND a.rank < {parts - 1}L, a.rank + 1L, a.rank), 'have', IF(a.have + c.n >= share AND a.rank < {parts - 1}L, 0L, a.have + c.n),
-      'out', concat(a.out, array(named_struct('cid', c.cid, 'rank', a.rank)))), a -> a.out)"""
-    return listed.select(F.explode(F.expr(fold)).alias("r")).select("r.cid", "r.rank")
+    full = f"a.have + c.n >= share AND size(a.ends) < {parts - 1}"
+    fold = f"""aggregate(cells, named_struct('have', 0L, 'ends', cast(array() as array<bigint>)),
+      (a, c) -> named_struct('have', IF({full}, 0L, a.have + c.n), 'ends', IF({full}, array_append(a.ends, c.cid), a.ends)), a -> a.ends)"""
+    ends = listed.select(F.expr(fold).alias("ends"))
+    return counts.crossJoin(F.broadcast(ends)).select("cid", F.expr("cast(size(filter(ends, e -> e < cid)) as bigint)").alias("rank"))
 
 
 def row_positions(points: DataFrame) -> DataFrame:

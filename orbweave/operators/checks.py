@@ -38,3 +38,16 @@ def pyramid(cells: DataFrame, side: int) -> DataFrame:
     """Parents (cubes of 2 x 2 x 2 cells) whose count isn't that of all their children. cells: i, j, k, n, parent_n."""
     up = [F.expr(f"{c} div 2").alias(c) for c in "ijk"]
     return cells.groupBy(*up).agg(F.sum("n").alias("children"), F.max("parent_n").alias("parent")).where("children != parent")
+
+
+def diagnosis(point: DataFrame, particles: DataFrame, box: Sequence[float], cells: Sequence[int], radius: float) -> DataFrame:
+    """About points (gid, gx, gy, gz) and one radius: gid, inside (the box), cid, n (particles in the sphere), nearest (distance of the
+    nearest particle in reach, null without one), in_cell (particles of the point's own cell)."""
+    from orbweave.operators.kernel import in_reach
+
+    g = [F.col(c) for c in ("gx", "gy", "gz")]
+    own = point.select("gid", geometry.inside_box(g, box).alias("inside"), geometry.point_cell(g, box, cells).alias("cid"))
+    near = in_reach(point, particles, box, radius).groupBy("gid").agg(F.count("*").alias("n"), F.sqrt(F.min("r2")).alias("nearest"))
+    held = particles.select(geometry.point_cell([F.col(c) for c in "xyz"], box, cells).alias("cid")).join(own.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.count("*").alias("in_cell"))
+    out = own.join(near, "gid", "left").join(held, "cid", "left")
+    return out.select("gid", "inside", "cid", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "nearest", F.coalesce("in_cell", F.lit(0)).cast("long").alias("in_cell"))

@@ -9,7 +9,7 @@ from orbweave.functions import cosmology, geometry
 from orbweave.operators import cells as C
 from orbweave.operators import checks, convert, grids, kernel, summary
 from orbweave.plans.run import union_snapshots
-from orbweave.sources import tables
+from orbweave.sources import snapshot, tables
 
 BOX, CUBE, SIDE = (64.0, 64.0, 64.0), (8, 8, 8), 8
 RADII = (2.0, 4.0, 6.0)
@@ -169,21 +169,57 @@ def brute_and_fast(spark: SparkSession, d: str) -> DataFrame:
     return checks.compared(fast, kernel.exhaustive(points, particles(spark, d), BOX, FEWER[0]))
 
 
+# ---- rows broken on purpose, which the checks must report
+
+
+def moved(df: DataFrame, which: str) -> DataFrame:
+    """Rows that meet a condition are given the next cell."""
+    return df.withColumn("cid", F.when(F.expr(which), (F.col("cid") + 1) % 512).otherwise(F.col("cid")))
+
+
+def broken_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of the join with some set to 0, some too high, some too low, against all pairs."""
+    points = grids.uniform(spark, BOX, SMALL)
+    slow = kernel.exhaustive(points, particles(spark, d), BOX, FEWER[0]).select("gid", "n")
+    n = F.when(F.col("gid") % 8 == 1, F.lit(0)).when(F.col("gid") % 8 == 3, F.col("n") + 2).when(F.col("gid") % 8 == 5, F.greatest(F.col("n") - 1, F.lit(0))).otherwise(F.col("n"))
+    return checks.compared(slow.withColumn("n", n.cast("long")), slow)
+
+
+def broken_results(spark: SparkSession, d: str) -> DataFrame:
+    """A result against itself without some points and with others changed."""
+    whole = results(spark, d).select("gid", "kernel_idx", "overdensity")
+    other = whole.where("gid % 50 != 7").withColumn("overdensity", F.col("overdensity") + F.when(F.col("gid") % 60 == 9, 0.25).otherwise(0.0))
+    return checks.differing(whole, other).withColumn("other", F.round("other", 9))
+
+
 def halved(spark: SparkSession, d: str) -> DataFrame:
-    """A level of the cell pyramid: 8^3 cells and the counts of their 4^3 parents."""
+    """A level of the cell pyramid: 8^3 cells and the counts of their 4^3 parents, of which some are one too high."""
     p = particles(spark, d)
     fine = C.histogram(C.assign(p, ("x", "y", "z"), BOX, CUBE), spark, 512).join(C.top_cells(spark, BOX, CUBE), "cid")
-    up = C.histogram(C.assign(p, ("x", "y", "z"), BOX, (4, 4, 4)), spark, 64).select(F.col("cid").alias("parent"), F.col("n").alias("parent_n"))
+    up = C.histogram(C.assign(p, ("x", "y", "z"), BOX, (4, 4, 4)), spark, 64).select(F.col("cid").alias("parent"), (F.col("n") + F.when(F.col("cid") % 9 == 4, 1).otherwise(0)).alias("parent_n"))
     parent = F.expr("(i div 2) * 16 + (j div 2) * 4 + k div 2")
     return checks.pyramid(fine.withColumn("parent", parent).join(up, "parent").drop("parent"), 2)
 
 
+LEAVES, MOST, DEEP = (4, 4, 4), 50, 5
+OCTREE_SQL = f"""WITH c AS (SELECT level::INTEGER AS level, floor(x * (4 << level) / 64)::INTEGER AS i, floor(y * (4 << level) / 64)::INTEGER AS j, floor(z * (4 << level) / 64)::INTEGER AS k, count(*) AS n
+  FROM ({particles_sql()}), (SELECT unnest(range({DEEP + 1})) AS level) GROUP BY ALL)
+ SELECT c.level, c.i, c.j, c.k, c.n FROM c LEFT JOIN c AS u ON u.level = c.level - 1 AND u.i = c.i // 2 AND u.j = c.j // 2 AND u.k = c.k // 2
+ WHERE (c.n <= {MOST} OR c.level = {DEEP}) AND (c.level = 0 OR u.n > {MOST})"""
+FLAGGED_SQL = USEFUL_SQL + f", f AS (SELECT o.cid, o.n, u.cid IS NOT NULL AS u FROM ({OFFSETS_SQL}) o LEFT JOIN useful u ON o.cid = u.cid) "
+RANGES_SQL = FLAGGED_SQL + f""", b AS (SELECT rank, count(*) AS cells, count(*) FILTER (u) AS useful_cells, sum(n)::BIGINT AS particles, coalesce(sum(n) FILTER (u), 0)::BIGINT AS useful_particles FROM f JOIN ({PARTITION_SQL.replace("WITH RECURSIVE c AS", "WITH RECURSIVE cc AS").replace(" FROM c)", " FROM cc)").replace("FROM c, t", "FROM cc AS c, t").replace("JOIN c ON", "JOIN cc AS c ON").replace(" f(cid", " ff(cid").replace("FROM f JOIN", "FROM ff AS f JOIN").replace("rank FROM f", "rank FROM ff")}) USING (cid) GROUP BY rank)
+ SELECT *, round((SELECT avg(particles) / max(particles) FROM b), 9) AS efficiency FROM b"""
+DIAGNOSIS_SQL = f"""WITH p AS (SELECT *, {cid_sql()} AS cid FROM ({particles_sql()})), g AS (SELECT *, {cid_sql(G)} AS cid FROM ({random_sql(FEW)})),
+ near AS (SELECT gid, count(*) AS n, sqrt(min(r2)) AS nearest FROM (SELECT gid, {r2_sql()} AS r2 FROM p, g WHERE {r2_sql()} <= 9) GROUP BY gid), h AS (SELECT cid, count(*) AS n FROM p GROUP BY cid)
+ SELECT g.gid, true AS inside, g.cid, coalesce(near.n, 0)::BIGINT AS n, round(nearest, 9) AS nearest, coalesce(h.n, 0)::BIGINT AS in_cell FROM g LEFT JOIN near USING (gid) LEFT JOIN h ON g.cid = h.cid"""
 LONG, NONCUBIC, TWICE = (20.0, 40.0, 60.0), (32.0, 64.0, 128.0), (3.0, 3.0)
 QUERIES = {
     "kernel_density_uniform": wide,
     "kernel_counts_long": results,
     "kernel_single_radius": lambda s, d: wide(s, d, (5.0,)),
     "kernel_large_radius": lambda s, d: wide(s, d, LONG),
+    "kernel_small_radius": lambda s, d: wide(s, d, (0.25,)),
+    "kernel_mixed_radii": lambda s, d: wide(s, d, (0.5, 12.0, 30.0, 60.0)),
     "kernel_noncubic": lambda s, d: wide(s, d, box=NONCUBIC),
     "kernel_duplicate_radii": lambda s, d: wide(s, d, TWICE),
     "kernel_exhaustive": lambda s, d: kernel.exhaustive(grids.uniform(s, BOX, SMALL), particles(s, d), BOX, FEWER[0]),
@@ -204,6 +240,13 @@ QUERIES = {
     "read_chunks": lambda s, d: C.chunks(flagged(s, d)),
     "read_chunks_gapfilled": lambda s, d: C.chunks(flagged(s, d), GAP),
     "greedy_partition": lambda s, d: C.balanced_ranges(C.histogram(placed_particles(s, d), s, 512), RANKS),
+    "load_counters": lambda s, d: snapshot.load(flagged(s, d)).withColumn("share", F.round("share", 9)),
+    "load_by_range": lambda s, d: snapshot.load_by_range(flagged(s, d), RANKS).withColumn("efficiency", F.round("efficiency", 9)),
+    "octree_leaves": lambda s, d: snapshot.octree(particles(s, d), BOX, LEAVES, MOST, DEEP),
+    "part_offsets": lambda s, d: snapshot.part_offsets(results(s, d).withColumn("part", F.col("gid") % 7)),
+    "text_points_malformed": lambda s, d: tables.malformed(text_lines(s, d)).select(F.col("at").alias("line")),
+    "text_points_outside": lambda s, d: tables.outside(text_lines(s, d), BOX),
+    "point_diagnosis": lambda s, d: checks.diagnosis(grids.random(s, BOX, FEW), particles(s, d), BOX, CUBE, 3.0).withColumn("nearest", F.round("nearest", 9)),
     "grid_points_per_cell": lambda s, d: C.running_start(C.histogram(C.assign(grids.random(s, BOX, 5000), G, BOX, CUBE), s, 512, None), "cid", "n"),
     "output_row_position": lambda s, d: C.row_positions(C.assign(grids.random(s, BOX, 5000), G, BOX, CUBE)),
     "convert_particles": lambda s, d: convert.prepared(particles(s, d, (66.0, 64.0, 64.0)), BOX, CUBE),
@@ -217,11 +260,12 @@ QUERIES = {
     "summary_bounds": lambda s, d: summary.bounds(grids.random(s, BOX, 5000)),
     "summary_spacing": lambda s, d: summary.spacing(grids.random(s, BOX, 5000)).withColumn("spacing", F.round("spacing", 9)),
     "validate_brute_vs_fast": brute_and_fast,
-    "validate_point_cells": lambda s, d: checks.misplaced(few_points(s), G, BOX, CUBE).select("gid", "cid"),
-    "validate_useful_cells": lambda s, d: checks.not_useful(few_points(s), useful(s)).select("gid", "cid"),
-    "validate_particle_cells": lambda s, d: checks.misplaced(placed_particles(s, d), ("x", "y", "z"), BOX, CUBE).select("mass", "cid"),
+    "validate_broken_counts": broken_counts,
+    "validate_point_cells": lambda s, d: checks.misplaced(moved(few_points(s), "gid % 3 = 0"), G, BOX, CUBE).select("gid", "cid"),
+    "validate_useful_cells": lambda s, d: checks.not_useful(few_points(s), useful(s).where("cid % 4 != 1")).select("gid", "cid"),
+    "validate_particle_cells": lambda s, d: checks.misplaced(moved(placed_particles(s, d), "mass = 7"), ("x", "y", "z"), BOX, CUBE).select("mass", "cid"),
     "validate_pyramid": halved,
-    "validate_same_results": lambda s, d: checks.differing(results(s, d).select("gid", "kernel_idx", "overdensity"), results(s, d).select("gid", "kernel_idx", "overdensity")),
+    "validate_same_results": broken_results,
     "multi_snapshot_union": lambda s, d: union_snapshots({0: wide(s, d, (5.0,)), 1: wide(s, d, (5.0,), NONCUBIC)}),
     "mean_density": lambda s, d: s.createDataFrame([(0.681, 0.304611, cosmology.mean_density(0.681, 0.304611, 0.0)), (0.6736, 0.31, cosmology.mean_density(0.6736, 0.31, 0.0))], "h double, omega double, density double").withColumn("density", F.round("density", 9)),
 }
@@ -234,6 +278,8 @@ ORACLES = {
     "kernel_counts_long": RESULTS_SQL,
     "kernel_single_radius": kernel_sql((5.0,)),
     "kernel_large_radius": kernel_sql(LONG),
+    "kernel_small_radius": kernel_sql((0.25,)),
+    "kernel_mixed_radii": kernel_sql((0.5, 12.0, 30.0, 60.0)),
     "kernel_noncubic": kernel_sql(box=NONCUBIC),
     "kernel_duplicate_radii": kernel_sql(TWICE),
     "kernel_exhaustive": f"SELECT gid, n_0 AS n, mass_0 AS mass FROM ({kernel_sql(FEWER, points=lattice_sql(n=SMALL))})",
@@ -254,6 +300,13 @@ ORACLES = {
     "read_chunks": chunks_sql(-1.0),
     "read_chunks_gapfilled": chunks_sql(GAP),
     "greedy_partition": PARTITION_SQL,
+    "load_counters": FLAGGED_SQL + "SELECT count(*) AS cells, count(*) FILTER (u) AS useful_cells, count(*) FILTER (n > 0) AS occupied_cells, sum(n)::BIGINT AS particles, coalesce(sum(n) FILTER (u), 0)::BIGINT AS useful_particles, coalesce(max(n) FILTER (u), 0)::BIGINT AS most, round(coalesce(sum(n) FILTER (u), 0)::DOUBLE / sum(n), 9) AS share FROM f",
+    "load_by_range": RANGES_SQL,
+    "octree_leaves": OCTREE_SQL,
+    "part_offsets": _R + "SELECT gid % 7 AS part, count(*) AS n, coalesce(sum(count(*)) OVER (ORDER BY gid % 7 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM r GROUP BY gid % 7",
+    "text_points_malformed": "SELECT o_orderkey AS line FROM orders WHERE o_orderkey % 11 IN (2, 4)",
+    "text_points_outside": LINES_SQL.replace("< 4096", ">= 4096"),
+    "point_diagnosis": DIAGNOSIS_SQL,
     "grid_points_per_cell": f"WITH h AS (SELECT cid, count(g) AS n FROM (SELECT unnest(range(512)) AS cid) LEFT JOIN (SELECT 1 AS g, {cid_sql(G)} AS cid FROM ({random_sql(5000)})) USING (cid) GROUP BY cid) SELECT cid, n, coalesce(sum(n) OVER (ORDER BY cid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM h",
     "output_row_position": f"SELECT gid, cid, row_number() OVER (ORDER BY cid, gid) - 1 AS position FROM (SELECT gid, {cid_sql(G)} AS cid FROM ({random_sql(5000)}))",
     "convert_particles": PREPARED_SQL,
@@ -267,11 +320,12 @@ ORACLES = {
     "summary_bounds": "SELECT " + ", ".join(f"min({c}) AS {c}_low, max({c}) AS {c}_high" for c in G) + f" FROM ({random_sql(5000)})",
     "summary_spacing": f"WITH g AS ({random_sql(100)}) SELECT round(min(d), 9) AS spacing FROM (SELECT sqrt((a.gx-b.gx)*(a.gx-b.gx) + (a.gy-b.gy)*(a.gy-b.gy) + (a.gz-b.gz)*(a.gz-b.gz)) AS d FROM g a JOIN g b ON a.gid < b.gid) WHERE d > 0",
     "validate_brute_vs_fast": "SELECT 'OK' AS status, 64::BIGINT AS n",
-    "validate_point_cells": "SELECT 0::BIGINT AS gid, 0::BIGINT AS cid WHERE false",
-    "validate_useful_cells": "SELECT 0::BIGINT AS gid, 0::BIGINT AS cid WHERE false",
-    "validate_particle_cells": "SELECT 0::DOUBLE AS mass, 0::BIGINT AS cid WHERE false",
-    "validate_pyramid": "SELECT 0::BIGINT AS i, 0::BIGINT AS j, 0::BIGINT AS k, 0::BIGINT AS children, 0::BIGINT AS parent WHERE false",
-    "validate_same_results": "SELECT 0::BIGINT AS gid, 0::INTEGER AS kernel_idx, 0::DOUBLE AS overdensity, 0::DOUBLE AS other WHERE false",
+    "validate_broken_counts": f"SELECT status, count(*) AS n FROM (SELECT CASE WHEN gid % 8 = 1 AND n > 0 THEN 'MISS' WHEN gid % 8 = 3 THEN 'OVER' WHEN gid % 8 = 5 AND n = 1 THEN 'MISS' WHEN gid % 8 = 5 AND n > 1 THEN 'UNDER' ELSE 'OK' END AS status FROM (SELECT gid, n_0 AS n FROM ({kernel_sql(FEWER, points=lattice_sql(n=SMALL))}))) GROUP BY status",
+    "validate_point_cells": f"SELECT gid, (cid + 1) % 512 AS cid FROM (SELECT gid, {cid_sql(G)} AS cid FROM ({random_sql(FEW)})) WHERE gid % 3 = 0",
+    "validate_useful_cells": f"SELECT gid, cid FROM (SELECT gid, {cid_sql(G)} AS cid FROM ({random_sql(FEW)})) WHERE cid % 4 = 1",
+    "validate_particle_cells": f"SELECT mass, ({cid_sql()} + 1) % 512 AS cid FROM ({particles_sql()}) WHERE mass = 7",
+    "validate_pyramid": f"SELECT (p // 16)::BIGINT AS i, (p // 4 % 4)::BIGINT AS j, (p % 4)::BIGINT AS k, n AS children, n + 1 AS parent FROM (SELECT r.p, count(x)::BIGINT AS n FROM (SELECT unnest(range(64)) AS p) r LEFT JOIN ({particles_sql()}) ON floor(x / 16) * 16 + floor(y / 16) * 4 + floor(z / 16) = r.p GROUP BY r.p) WHERE p % 9 = 4",
+    "validate_same_results": f"SELECT gid, kernel_idx, overdensity, CASE WHEN gid % 50 != 7 THEN round(overdensity + 0.25::DOUBLE, 9) END AS other FROM ({RESULTS_SQL}) WHERE gid % 50 = 7 OR gid % 60 = 9",
     "multi_snapshot_union": f"SELECT *, 0::INTEGER AS snap FROM ({kernel_sql((5.0,))}) UNION ALL SELECT *, 1::INTEGER AS snap FROM ({kernel_sql((5.0,), NONCUBIC)})",
     "mean_density": f"SELECT h, omega, round(3 * (100 * h) * (100 * h) / (8 * pi() * {cosmology.G!r}::DOUBLE) * omega, 9) AS density FROM (VALUES (0.681::DOUBLE, 0.304611::DOUBLE), (0.6736::DOUBLE, 0.31::DOUBLE)) AS t(h, omega)",
 }

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import logging
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+log = logging.getLogger(__name__)
 PARTICLES = T.StructType([T.StructField(c, T.DoubleType()) for c in ("x", "y", "z", "mass")])
 POINTS = T.StructType([T.StructField("gid", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("gx", "gy", "gz"))])
 NUMBER = r"[-+]?(?:\d++\.?+\d*+|\.\d++)(?:[eE][-+]?\d++)?+"
@@ -25,7 +28,7 @@ def read_columns(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(names[c]).cast("double").alias(c) for c in ("x", "y", "z", "mass")])
 
 
-def points_from_lines(lines: DataFrame, box: Sequence[float]) -> DataFrame:
+def points_from_lines(lines: DataFrame, box: Sequence[float], low: float = 0.0) -> DataFrame:
     """Points from text lines (column `value`, `at` their order): blank lines and comments are skipped, so are lines without
     three leading numbers; what follows these is ignored; only points inside the half-open box stay."""
     from orbweave.functions.geometry import inside_box
@@ -34,12 +37,36 @@ def points_from_lines(lines: DataFrame, box: Sequence[float]) -> DataFrame:
     shape = rf"^\s*({NUMBER})\s+({NUMBER})\s+({NUMBER})(?:\s.*|#.*)?$"
     kept = lines.where(F.col("value").rlike(shape) & ~F.ltrim("value").startswith("#"))
     out = kept.select("at", *[found("value", shape, i).try_cast("double").alias(c) for i, c in enumerate(("gx", "gy", "gz"), 1)])
-    return out.where(inside_box([F.col(c) for c in ("gx", "gy", "gz")], box)).select(F.col("at").alias("gid"), "gx", "gy", "gz")
+    return out.where(inside_box([F.col(c) for c in ("gx", "gy", "gz")], box, low)).select(F.col("at").alias("gid"), "gx", "gy", "gz")
+
+
+def malformed(lines: DataFrame) -> DataFrame:
+    """(at, value) of lines that points_from_lines() skips though they are neither blank nor comments."""
+    shape = rf"^\s*(?:{NUMBER})\s+(?:{NUMBER})\s+(?:{NUMBER})(?:\s.*|#.*)?$"
+    return lines.where(~F.col("value").rlike(shape) & ~F.ltrim("value").startswith("#") & (F.trim(F.regexp_replace("value", r"\s", " ")) != "")).select("at", "value")
+
+
+def outside(lines: DataFrame, box: Sequence[float]) -> DataFrame:
+    """(gid, gx, gy, gz) of well-formed points that lie beyond the box."""
+    inside = points_from_lines(lines, box).select("gid")
+    return points_from_lines(lines, (math.inf,) * 3, low=-math.inf).join(inside, "gid", "left_anti")
 
 
 def read_points(spark: SparkSession, path: str, box: Sequence[float]) -> DataFrame:
-    """Points of a coordinate file; a missing file raises. Numbers grow with the lines but have gaps."""
-    return points_from_lines(spark.read.text(path).withColumn("at", F.monotonically_increasing_id()), box)
+    """Points of a coordinate file; a missing file raises, malformed lines and points beyond the box are warned of and skipped.
+    Numbers grow with the lines but have gaps."""
+    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    for n, what in ((malformed(lines).count(), "malformed lines"), (outside(lines, box).count(), "points beyond the box")):
+        if n:
+            log.warning("%s: %d %s skipped", path, n, what)
+    return points_from_lines(lines, box)
+
+
+def write_halos(halos: DataFrame, path: str) -> None:
+    """Two text folders: points ("x y z") and masses of halos with mass, in one order."""
+    kept = halo_points(halos).orderBy("gx", "gy", "gz", "mass")
+    kept.select(F.concat_ws(" ", "gx", "gy", "gz").alias("value")).write.mode("overwrite").text(f"{path}/points")
+    kept.select(F.col("mass").cast("string").alias("value")).write.mode("overwrite").text(f"{path}/masses")
 
 
 def halo_points(halos: DataFrame) -> DataFrame:

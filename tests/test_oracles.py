@@ -29,7 +29,7 @@ def test_same_rows(spark, con, name):
     want = con.sql(catalog.ORACLES[name])
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
-    kinds = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string"}
+    kinds = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
     assert {c: kinds[str(t)] for c, t in zip(want.columns, want.types, strict=True)} == dict(got.dtypes)
     a = sorted((tuple(r) for r in got.select(*columns).collect()), key=key)
     b = sorted(want.select(*columns).fetchall(), key=key)
