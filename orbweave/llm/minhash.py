@@ -405,3 +405,15 @@ def drop_near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, bands: in
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir), k=3, percent=85, bands=45, rows=6)
+
+
+OP10_SQL = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT rid, doc_id, CASE WHEN len(ws) >= 3 THEN list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2])) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS gs FROM d),
+sh AS (SELECT rid, len(gs) AS n, unnest(gs) AS g FROM s),
+links AS (SELECT a.rid AS x, b.rid AS y FROM sh a JOIN sh b ON a.g = b.g AND a.rid < b.rid GROUP BY a.rid, b.rid, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(v, u) AS (SELECT rid, rid FROM d UNION SELECT reach.v, both_ways.y FROM reach JOIN both_ways ON reach.u = both_ways.x),
+c AS (SELECT v, min(doc_id) AS component_id FROM reach JOIN d ON d.rid = reach.u GROUP BY v)
+SELECT doc_id, len(gs)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON c.v = s.rid
+"""

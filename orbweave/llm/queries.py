@@ -16,4 +16,9 @@ QUERIES = {
     "op9_adaptive_rules": quality.op9_adaptive_rules,
     "op10_minhash": minhash.op10_minhash,
 }
-ORACLES = {"op1_decontaminate": decontaminate.OP1_SQL, "op9_adaptive_rules": quality.OP9_SQL}
+ORACLES = {
+    "op1_decontaminate": decontaminate.OP1_SQL,
+    "op8_suffix_dedup": suffixes.OP8_SQL,
+    "op9_adaptive_rules": quality.OP9_SQL,
+    "op10_minhash": minhash.OP10_SQL,
+}

@@ -419,3 +419,18 @@ def cut_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", n_chars:
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(common.documents(spark, sf_dir), with_text=False)
+
+
+OP8_SQL = """
+WITH b AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS h FROM documents),
+w AS (SELECT rid, doc_id, i, h[i:i+49] AS win FROM (SELECT rid, doc_id, h, unnest(range(1, octet_length(h) - 48)) AS i FROM b WHERE octet_length(h) >= 50)),
+f AS (SELECT win, min(doc_id) AS first_id FROM w GROUP BY win),
+gone AS (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS prev FROM w JOIN f USING (win) WHERE doc_id > first_id),
+marked AS (SELECT rid, i, sum(CASE WHEN prev IS NULL OR i > prev + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) AS run FROM gone),
+runs AS (SELECT rid, run, min(i) AS a, max(i) + 49 AS z FROM marked GROUP BY rid, run),
+gaps AS (SELECT rid, a, z, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) + 1 AS since FROM runs),
+cut AS (SELECT rid, count(*) AS n_spans, sum(z - a + 1) AS n_removed, max(z) AS tail, string_agg(CASE WHEN since < a THEN hex(h[since:a-1]) ELSE '' END, '' ORDER BY a) AS hx FROM gaps JOIN b USING (rid) GROUP BY rid)
+SELECT doc_id, octet_length(h)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+ sha256(unhex(coalesce(hx, '') || CASE WHEN coalesce(tail, 0) < octet_length(h) THEN hex(h[coalesce(tail, 0) + 1:octet_length(h)]) ELSE '' END)) AS kept_sha256
+FROM b LEFT JOIN cut USING (rid)
+"""

@@ -184,6 +184,20 @@ def test_near_duplicates(docs, rows, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_sql_of_whole_tables(spark):
+    """The queries that have SQL, on the smallest tables."""
+    from orbweave.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    for name, sql in queries.ORACLES.items():
+        want = con.sql(sql)
+        columns = sorted(want.columns)
+        assert pairs(queries.QUERIES[name](spark, folder), *columns) == sorted(want.select(*columns).fetchall(), key=str), name
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 102), (102, 101)], "a long, b long")
     assert pairs(minhash.components(links), "v", "label") == sorted([(i, 1) for i in range(1, 41)] + [(i, 100) for i in (100, 101, 102)], key=str)
