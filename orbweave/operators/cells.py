@@ -60,15 +60,21 @@ def useful(points: DataFrame, box: Sequence[float], cells: Sequence[int], radius
     return own.union(neighbours(own, box, cells, radius).select("neighbour")).distinct()
 
 
-def chunks(cells: DataFrame, gap: float = -1.0) -> DataFrame:
+def chunks(cells: DataFrame, gap: float = -1.0, stride: int = 4096) -> DataFrame:
     """Runs of useful cells that are contiguous in the file: (chunk, first_cid, last_cid, start, n). cells: cid, n, start,
-    useful. Runs closer than `gap` rows merge. One row a cell is ordered in one place, as cells are few beside particles."""
-    w = Window.orderBy("cid")
-    rows = cells.where("useful").select("cid", "n", "start", (F.col("start") + F.col("n")).alias("stop"))
-    far = F.col("start") - F.lag("stop").over(w)
-    opens = F.when(F.lag("stop").over(w).isNull() | ((far != 0) & ~(far < F.lit(float(gap)))), 1).otherwise(0)
-    marked = rows.withColumn("opens", opens).withColumn("chunk", F.sum("opens").over(w) - 1)
-    return marked.groupBy("chunk").agg(F.min("cid").alias("first_cid"), F.max("cid").alias("last_cid"), F.min("start").alias("start"), (F.max("stop") - F.min("start")).alias("n"))
+    useful. Runs closer than `gap` rows merge. In two levels, as running_start(): within blocks of cells, and over the blocks."""
+    within = Window.partitionBy("block").orderBy("cid")
+    over = Window.orderBy("block")
+    rows = cells.where("useful").select("cid", "n", "start", (F.col("start") + F.col("n")).alias("stop"), F.expr(f"cid div {stride}").alias("block"))
+    ends = rows.groupBy("block").agg(F.max("stop").alias("end")).select("block", F.lag("end").over(over).alias("before"))
+    last = F.coalesce(F.lag("stop").over(within), F.col("before"))
+    far = F.col("start") - F.col("last")
+    opens = F.when(F.col("last").isNull() | ((far != 0) & ~(far < F.lit(float(gap)))), 1).otherwise(0)
+    marked = rows.join(ends, "block").withColumn("last", last).withColumn("opens", opens)
+    bases = marked.groupBy("block").agg(F.sum("opens").alias("n_opens"))
+    bases = bases.select("block", F.coalesce(F.sum("n_opens").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    numbered = marked.join(bases, "block").withColumn("chunk", F.sum("opens").over(within) + F.col("base") - 1)
+    return numbered.groupBy("chunk").agg(F.min("cid").alias("first_cid"), F.max("cid").alias("last_cid"), F.min("start").alias("start"), (F.max("stop") - F.min("start")).alias("n"))
 
 
 def balanced_ranges(counts: DataFrame, parts: int) -> DataFrame:

@@ -253,7 +253,7 @@ QUERIES = {
     "convert_offsets": lambda s, d: convert.with_offsets(convert.prepared(particles(s, d, (66.0, 64.0, 64.0)), BOX, CUBE), CUBE),
     "inferred_box": lambda s, d: s.createDataFrame([tables.box_of(particles(s, d))], "x double, y double, z double"),
     "total_mass": lambda s, d: particles(s, d).agg(F.count("*").alias("n"), F.sum("mass").alias("mass")),
-    "summary_stats": lambda s, d: summary.stats(results(s, d)).withColumns({c: F.round(c, 8) for c in ("mean", "median", "std")}),
+    "summary_stats": lambda s, d: summary.stats(results(s, d).persist()).withColumns({c: F.round(c, 8) for c in ("mean", "median", "std")}),
     "summary_signs": lambda s, d: summary.signs(results(s, d)).withColumns({f"percent_{c}": F.round(f"percent_{c}", 9) for c in ("over", "under", "zero")}),
     "summary_histogram": lambda s, d: summary.histogram(results(s, d)),
     "summary_extremes": lambda s, d: summary.extremes(results(s, d)),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orbweave import config
 from orbweave.functions import cosmology, geometry
-from orbweave.operators import cells, checks, convert, grids, kernel
+from orbweave.operators import cells, checks, convert, grids, kernel, summary
 from orbweave.plans import prepare, report, run
 from orbweave.sources import hdf5, snapshot, tables
 from orbweave.streaming import kernel_stream
@@ -205,6 +205,32 @@ def test_ranges_of_cells(spark):
     assert [r["rank"] for r in got.orderBy("cid").collect()] == [0, 0, 1, 1, 2, 2]
 
 
+def test_medians(spark, monkeypatch):
+    import random
+    import statistics
+
+    r = random.Random(6)
+    rows = [(0, r.gauss(0, 1)) for _ in range(1001)] + [(1, r.random()) for _ in range(1000)] + [(2, 5.0)] * 7 + [(3, float(i % 2)) for i in range(10)] + [(4, 1e9 if i == 0 else r.random()) for i in range(500)]
+    df = spark.createDataFrame(rows, "kernel_idx int, overdensity double")
+    want = {k: statistics.median(v for i, v in rows if i == k) for k in range(5)}
+    assert summary.medians(df) == want
+    monkeypatch.setattr(summary, "HELD", 3)
+    monkeypatch.setattr(summary, "BINS", 8)
+    assert summary.medians(df) == want
+    assert summary.medians(df.limit(0)) == {}
+
+
+def test_chunks_in_blocks(spark):
+    n = [4, 3, 5, 0, 2, 2, 7, 1]
+    useful = [1, 0, 1, 1, 1, 0, 1, 1]
+    rows = [(i, n[i], sum(n[:i]), bool(useful[i])) for i in range(8)]
+    df = spark.createDataFrame(rows, "cid long, n long, start long, useful boolean")
+    plain = lambda *a: sorted(map(tuple, cells.chunks(df, *a).collect()))
+    assert plain(-1.0) == plain(-1.0, 2) == plain(-1.0, 1) == [(0, 0, 0, 0, 4), (1, 2, 4, 7, 7), (2, 6, 7, 16, 8)]
+    assert plain(2.5) == plain(2.5, 2) == [(0, 0, 0, 0, 4), (1, 2, 7, 7, 17)]
+    assert plain(3.5) == plain(3.5, 1) == [(0, 0, 7, 0, 24)]
+
+
 def test_stream(spark, tmp_path):
     p = grids.random(spark, BOX, 300, 4).select(*[F.col(f"g{c}").alias(c) for c in "xyz"], F.lit(1.0).alias("mass"))
     p.repartition(4).write.parquet(f"{tmp_path}/in")
