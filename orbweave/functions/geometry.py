@@ -27,8 +27,7 @@ def apart(d: Column, length: float) -> Column:
 
 
 def distance2(a: Sequence[Column], b: Sequence[Column], box: Box) -> Column:
-    dx, dy, dz = (apart(p - q, length) for p, q, length in zip(a, b, box, strict=True))
-    return dx * dx + dy * dy + dz * dz
+    return squares([apart(p - q, length) for p, q, length in zip(a, b, box, strict=True)])
 
 
 def in_sphere(r2: Column, radius: float) -> Column:
@@ -72,16 +71,24 @@ def clamped(x: Column, length: float) -> Column:
     return F.greatest(F.lit(0.0), F.least(x, F.lit(math.nextafter(length, -math.inf))))
 
 
-def cell_gaps(ijk: Sequence[Column], point: Sequence[Column], cells: Sequence[int], box: Box) -> tuple[Column, Column]:
-    """Squares of the least and greatest distance from a point to any place of a cell, rounded outwards."""
+def to_centre(i: Column, point: Column, cells: int, length: float) -> Column:
+    """Distance on one axis from a point to the middle of cell i, to rounding."""
+    half = F.lit(length / 2)
+    return half - F.abs(half - F.abs((i + 0.5) * F.lit(length / cells) - point))
+
+
+def cell_gaps(centre: Sequence[Column], cells: Sequence[int], box: Box) -> tuple[Column, Column]:
+    """Squares of the least and greatest distance to any place of a cell, from those to its middle; rounded outwards."""
     near, far = [], []
-    for i, p, n, length in zip(ijk, point, cells, box, strict=True):
-        half, slack = length / n / 2, length * 1e-12
-        d = apart((i + 0.5) * F.lit(length / n) - p, length)
-        near.append(F.greatest(d - (half + slack), F.lit(0.0)))
-        far.append(F.least(d + (half + slack), F.lit(length / 2 + slack)))
-    square = lambda v: v[0] * v[0] + v[1] * v[1] + v[2] * v[2]
-    return square(near), square(far)
+    for d, n, length in zip(centre, cells, box, strict=True):
+        reach, slack = length / n / 2 + length * 1e-12, length * 1e-12
+        near.append(F.greatest(d - reach, F.lit(0.0)))
+        far.append(F.least(d + reach, F.lit(length / 2 + slack)))
+    return squares(near), squares(far)
+
+
+def squares(v: Sequence[Column]) -> Column:
+    return v[0] * v[0] + v[1] * v[1] + v[2] * v[2]
 
 
 def spheres_beyond(r2: Column, radii: Sequence[float]) -> Column:

@@ -64,11 +64,13 @@ def copied(points: DataFrame, box: Sequence[float], plan: Levels) -> DataFrame:
 
 def judged(rows: DataFrame, box: Sequence[float], radii: Sequence[float], cells: Sequence[int]) -> DataFrame:
     """rows with OPEN replaced in the column sphere by the number of the sphere that all of the cell belongs to, where there is one;
-    cells beyond all spheres go. The gaps are generated, not projected, so that they are worked out once."""
-    near2, far2 = geometry.cell_gaps([F.col(c) for c in IJK], [F.col(g) for g in G], cells, box)
-    nil = F.lit(0.0)
-    gaps = F.when(F.col("sphere") == OPEN, F.array(F.struct(near2.alias("near2"), far2.alias("far2")))).otherwise(F.array(F.struct(nil.alias("near2"), nil.alias("far2"))))
-    kept = rows.select("*", F.inline(gaps)).where(geometry.in_sphere(F.col("near2"), radii[-1]))
+    cells beyond all spheres go. Distances are generated, not projected: a projection would be put into every place that uses it,
+    and the code of a stage would grow beyond what the JVM compiles."""
+    centre = [geometry.to_centre(F.col(c), F.col(g), n, length).alias(f"d{c}") for c, g, n, length in zip(IJK, G, cells, box, strict=True)]
+    near2, far2 = geometry.cell_gaps([F.col(f"d{c}") for c in IJK], cells, box)
+    near2 = F.when(F.col("sphere") == OPEN, near2).otherwise(0.0).alias("near2")
+    gaps = rows.select("*", F.inline(F.array(F.struct(*centre)))).select("*", F.inline(F.array(F.struct(near2, far2.alias("far2")))))
+    kept = gaps.where(geometry.in_sphere(F.col("near2"), radii[-1]))
     first, last = (geometry.spheres_beyond(F.col(c), radii) for c in ("near2", "far2"))
     verdict = F.when(F.col("sphere") != OPEN, F.col("sphere")).when(first == last, first).otherwise(OPEN)
     return kept.select("gid", *G, *IJK, "level", verdict.alias("sphere"))
@@ -116,32 +118,37 @@ def homes(particles: DataFrame, box: Sequence[float], plan: Levels) -> DataFrame
     return particles.select("x", "y", "z", "mass", *[geometry.cell_axis(F.col(a), length, n).alias(c) for a, c, length, n in zip(geometry.AXES, IJK, box, cells, strict=True)])
 
 
-def found_pairs(home: DataFrame, rows: DataFrame, box: Sequence[float], plan: Levels) -> DataFrame:
-    """(gid, mass, r2) of the particles in the rows' cells, which are of the deepest level."""
+def with_distance(pairs: DataFrame, box: Sequence[float]) -> tuple[DataFrame, Column]:
+    """(pairs with the separation on each axis, generated as in judged(); their squared distance)."""
+    d = [geometry.apart(F.col(a) - F.col(g), length).alias(f"d{a}") for a, g, length in zip(geometry.AXES, G, box, strict=True)]
+    return pairs.select("*", F.inline(F.array(F.struct(*d)))), geometry.squares([F.col(f"d{a}") for a in geometry.AXES])
+
+
+def found_pairs(home: DataFrame, rows: DataFrame, box: Sequence[float], plan: Levels) -> tuple[DataFrame, Column]:
+    """(gid, mass and separations of the particles in the rows' cells, which are of the deepest level; squared distance)."""
     left = home.select("x", "y", "z", "mass", numbered(home, plan, plan.deepest).alias("cell"))
     left = left if home.isStreaming else spread(left, "cell")
     right = rows.select("gid", *G, numbered(rows, plan, plan.deepest).alias("cell"))
-    r2 = geometry.distance2([F.col(a) for a in geometry.AXES], [F.col(g) for g in G], box)
-    return left.join(right, "cell").select("gid", "mass", r2.alias("r2"))
+    return with_distance(left.join(right, "cell").drop("cell"), box)
 
 
 def sphere_sums(points: DataFrame, particles: DataFrame, box: Sequence[float], radii: Sequence[float], n_particles: int) -> DataFrame:
     """(gid, sphere, n, mass): particles beyond radius sphere - 1 up to radius sphere. radii ascend."""
     plan = levels(box, radii[-1], n_particles)
     rows, home = searched(points, box, radii, plan), homes(particles, box, plan)
-    total = [F.sum("n").alias("n"), F.sum("mass").alias("mass")]
-    r2 = geometry.distance2([F.col(a) for a in geometry.AXES], [F.col(g) for g in G], box)
     if not plan.deepest:  # cells are as wide as the radius, and hardly any lies in a sphere
-        inside = found_pairs(home, rows, box, plan).where(geometry.in_sphere(F.col("r2"), radii[-1]))
-        return inside.select("gid", "mass", geometry.spheres_beyond(F.col("r2"), radii).alias("sphere")).groupBy("gid", "sphere").agg(F.count("*").alias("n"), F.sum("mass").alias("mass"))
+        pairs, r2 = found_pairs(home, rows, box, plan)
+        inside = pairs.where(geometry.in_sphere(r2, radii[-1])).select("gid", "mass", geometry.spheres_beyond(r2, radii).alias("sphere"))
+        return inside.groupBy("gid", "sphere").agg(F.count("*").alias("n"), F.sum("mass").alias("mass"))
     # one join for both: whole cells meet their sums by level, open ones their particles
     single = home.select(F.lit(OPEN).alias("level"), numbered(home, plan, plan.deepest).alias("cell"), "x", "y", "z", F.lit(1).cast("long").alias("n"), "mass")
-    place = [F.lit(None).cast("double").alias(a) for a in geometry.AXES]
-    sums = cell_sums(home, plan).select("level", "cell", *place, "n", "mass")
+    sums = cell_sums(home, plan).select("level", "cell", *[F.lit(0.0).alias(a) for a in geometry.AXES], "n", "mass")
     wanted = rows.select("gid", *G, "sphere", F.when(F.col("sphere") == OPEN, OPEN).otherwise(F.col("level")).alias("level"), numbered(rows, plan).alias("cell"))
-    both = spread(single.unionByName(sums), "level", "cell").join(wanted, ["level", "cell"]).where((F.col("level") != OPEN) | geometry.in_sphere(r2, radii[-1]))
-    sphere = F.when(F.col("level") == OPEN, geometry.spheres_beyond(r2, radii)).otherwise(F.col("sphere"))
-    return both.select("gid", sphere.alias("sphere"), "n", "mass").groupBy("gid", "sphere").agg(*total)
+    both, r2 = with_distance(spread(single.unionByName(sums), "level", "cell").join(wanted, ["level", "cell"]).drop("level", "cell"), box)
+    whole = F.col("sphere") != OPEN
+    kept = both.where(whole | geometry.in_sphere(r2, radii[-1]))
+    sphere = F.when(whole, F.col("sphere")).otherwise(geometry.spheres_beyond(r2, radii))
+    return kept.select("gid", sphere.alias("sphere"), "n", "mass").groupBy("gid", "sphere").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass"))
 
 
 def kernel_sums(points: DataFrame, particles: DataFrame, box: Sequence[float], radii: Sequence[float], density: float, n_particles: int | None = None) -> DataFrame:
@@ -164,8 +171,8 @@ def kernel_sums(points: DataFrame, particles: DataFrame, box: Sequence[float], r
 def in_reach(points: DataFrame, particles: DataFrame, box: Sequence[float], radius: float) -> DataFrame:
     """(gid, mass, r2) of every particle within the radius of a point, in one level of cells; particles may be a stream."""
     plan = levels(box, radius, 0)
-    pairs = found_pairs(homes(particles, box, plan), searched(points, box, [radius], plan), box, plan)
-    return pairs.where(geometry.in_sphere(F.col("r2"), radius))
+    pairs, r2 = found_pairs(homes(particles, box, plan), searched(points, box, [radius], plan), box, plan)
+    return pairs.select("gid", "mass", r2.alias("r2")).where(geometry.in_sphere(F.col("r2"), radius))
 
 
 def long_form(wide: DataFrame, radii: Sequence[float]) -> DataFrame:

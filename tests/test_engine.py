@@ -67,7 +67,7 @@ def test_cell_gaps_hold_every_place(spark):
     p = grids.random(spark, BOX, 300, 3).select("gx", "gy", "gz")
     q = grids.random(spark, BOX, 20, 5).select(*[F.col(f"g{c}").alias(c) for c in "xyz"])
     both = p.crossJoin(q).withColumns({c: geometry.cell_axis(F.col(x), 10.0, 4) for c, x in zip("ijk", "xyz", strict=True)})
-    near, far = geometry.cell_gaps([F.col(c) for c in "ijk"], [F.col(f"g{c}") for c in "xyz"], (4, 4, 4), BOX)
+    near, far = geometry.cell_gaps([geometry.to_centre(F.col(c), F.col(f"g{x}"), 4, 10.0) for c, x in zip("ijk", "xyz", strict=True)], (4, 4, 4), BOX)
     r2 = geometry.distance2([F.col(c) for c in "xyz"], [F.col(f"g{c}") for c in "xyz"], BOX)
     assert both.where((r2 < near) | (r2 > far)).count() == 0
 
