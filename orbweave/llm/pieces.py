@@ -29,7 +29,7 @@ from orbweave.llm import common
 
 SPACE = "▁"
 #: Stretches and pairs of pieces that a worker keeps; longer stretches aren't kept.
-CACHE, CACHE_CHARS = 700_000, 64
+CACHE, CACHE_CHARS = 250_000, 64
 #: Code of a character that is no piece; bits of a code.
 UNKNOWN, CODE_BITS = 1 << 21, 22
 

@@ -33,7 +33,7 @@ LENGTH, GRAM = 50, 16
 #: Bytes hashed at once; longer texts are parsed in segments, which only cuts a phrase in two.
 SEGMENT = 1 << 21
 #: Windows of one phrase at most, phrases that a task holds, windows sorted at once, text bytes a hash range.
-PHRASE, HELD, SORTED, RANGE_BYTES = 4096, 600_000, 200_000, 8 << 20
+PHRASE, HELD, SORTED, RANGE_BYTES = 4096, 300_000, 200_000, 4 << 20
 SPLIT = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 64, 256, np.uint64)
 BASE = 0x5851F42D4C957F2D
 M2, M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
