@@ -162,6 +162,34 @@ def test_suffix_dedup(docs, rows, empty, monkeypatch):
     assert suffixes.suffix_dedup(empty).count() == 0
 
 
+def test_phrases_hold_every_window_once(monkeypatch):
+    """Also where texts are parsed in segments and phrases are cut."""
+    r = random.Random(12)
+    texts = ["".join(r.choice("ab c") for _ in range(n)) for n in (0, 49, 50, 51, 700, 3000)] + ["z" * 900, None]
+    for segment, phrase in ((1 << 21, 4096), (256, 16), (64, 3)):
+        monkeypatch.setattr(suffixes, "SEGMENT", segment)
+        monkeypatch.setattr(suffixes, "PHRASE", phrase)
+        suffixes.powers.cache_clear()
+        got = [[0] * max(0, len(t or "") - 49) for t in texts]
+        trigger = {}
+        for x in suffixes.parsed(pa.array(texts)):
+            for i in range(int(x["s"]), int(x["s"]) + int(x["n"])):
+                got[x["d"]][i] += 1
+                window = texts[x["d"]][i : i + 50]
+                assert trigger.setdefault(window, x["h"]) == x["h"]
+        assert all(set(g) <= {1} for g in got)
+    suffixes.powers.cache_clear()
+
+
+def test_texts_longer_than_a_segment(spark):
+    r = random.Random(13)
+    long = "".join(r.choice("abcdefgh ") for _ in range(suffixes.SEGMENT + 60_000))
+    part = long[suffixes.SEGMENT - 30_000 : suffixes.SEGMENT + 30_000]
+    df = spark.createDataFrame([(1, long), (2, part), (3, "x" * 40 + part + "y" * 60), (4, "y" * 60)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"], r["text"]) for r in suffixes.suffix_dedup(df).collect()}
+    assert got == {1: (0, 0, long), 2: (60_000, 1, ""), 3: (60_000, 1, "x" * 40 + "y" * 60), 4: (60, 1, "")}
+
+
 def test_near_duplicates(docs, rows, empty):
     sets = {i: shingles(t, 3) for i, t, *_ in rows if i is not None}
     parent = {i: i for i in sets}
@@ -300,6 +328,29 @@ def test_toxicity(marked, empty):
     assert toxicity.toxicity(df, labels.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_toxicity_of_odd_tables(spark, marked):
+    """Columns named like the results pass through, repeated rows share a verdict, and partitions don't matter."""
+    df, labels = marked
+    odd = df.union(df.where("doc_id < 30")).withColumns({c: F.lit(7) for c in ("score", "predicted", "through", "held_out")})
+    plain = dict(pairs(toxicity.toxicity(df, labels), "doc_id", "score"))
+    again = pairs(toxicity.toxicity(odd.repartition(7), labels), "doc_id", "score")
+    assert len(again) == 632 and dict(again) == plain
+    kept = toxicity.drop_toxic(odd, labels)
+    assert kept.columns == odd.columns
+    want = [(i, t, 7, 7, 7, 7) for i, t in pairs(odd, "doc_id", "text") if plain[i] < 0.5]
+    assert pairs(kept, *odd.columns) == sorted(want, key=str)
+
+
+def test_toxicity_fits_within_its_bounds(marked, monkeypatch):
+    df, labels = marked
+    monkeypatch.setattr(toxicity, "TOXIC_DOCS", 10)
+    monkeypatch.setattr(toxicity, "ORDINARY_DOCS", 20)
+    rows = toxicity.training_rows(df, labels, "text", "doc_id", "toxic")
+    assert (sum(y for _, y in rows), len(rows)) == (10, 30)
+    monkeypatch.setattr(toxicity, "FIT_BYTES", 5000)
+    assert sum(len(t.encode()) for t, _ in toxicity.training_rows(df, labels, "text", "doc_id", "toxic")) <= 5000
+
+
 def test_resampling(spark, marked, empty):
     df, labels = marked
     got = {r["doc_id"]: r for r in resampling.resample(df, labels, 0.5).collect()}
