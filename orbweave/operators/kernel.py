@@ -28,6 +28,9 @@ AXIS_CELLS = 1 << 20
 OPEN = -1
 #: More partitions than any table has.
 STRETCH = 1 << 24
+#: Rows for cells that a join may broadcast. Spark takes exploded points for as small as the points they come from, and would send
+#: millions of them through the driver.
+FEW_ROWS = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -98,6 +101,12 @@ def numbered(rows: DataFrame, plan: Levels, level: int | None = None) -> Column:
     return (i * at(plan.cells[1]) + j) * at(plan.cells[2]) + k
 
 
+def most_rows(points: int, plan: Levels, radii: Sequence[float], box: Sequence[float]) -> int:
+    """About, and rather too many: searched()'s rows, as all copies and the cells of a cube around each sphere at every deeper level."""
+    deeper = sum(math.prod(min(n, 2 * r * n / length + 2) for n, length in zip(plan.at(level), box, strict=True)) for level in range(1, plan.deepest + 1) for r in radii)
+    return math.ceil(points * (math.prod(map(len, plan.offsets)) + deeper))
+
+
 def cell_sums(home: DataFrame, plan: Levels) -> DataFrame:
     """level, cell, n, mass of every occupied cell of every level; upper ones are summed from the deepest. home: i, j, k, mass."""
     leaf = home.groupBy(*IJK).agg(F.count("*").alias("n"), F.sum("mass").alias("mass"))
@@ -124,27 +133,34 @@ def with_distance(pairs: DataFrame, box: Sequence[float]) -> tuple[DataFrame, Co
     return pairs.select("*", F.inline(F.array(F.struct(*d)))), geometry.squares([F.col(f"d{a}") for a in geometry.AXES])
 
 
-def found_pairs(home: DataFrame, rows: DataFrame, box: Sequence[float], plan: Levels) -> tuple[DataFrame, Column]:
+def beside(rows: DataFrame, many: bool) -> DataFrame:
+    """rows for cells as a join may have them: many are sorted and spilled, never broadcast or held in a hash table."""
+    return rows.hint("merge") if many else rows
+
+
+def found_pairs(home: DataFrame, rows: DataFrame, box: Sequence[float], plan: Levels, many: bool) -> tuple[DataFrame, Column]:
     """(gid, mass and separations of the particles in the rows' cells, which are of the deepest level; squared distance)."""
     left = home.select("x", "y", "z", "mass", numbered(home, plan, plan.deepest).alias("cell"))
     left = left if home.isStreaming else spread(left, "cell")
     right = rows.select("gid", *G, numbered(rows, plan, plan.deepest).alias("cell"))
-    return with_distance(left.join(right, "cell").drop("cell"), box)
+    return with_distance(left.join(beside(right, many), "cell").drop("cell"), box)
 
 
 def sphere_sums(points: DataFrame, particles: DataFrame, box: Sequence[float], radii: Sequence[float], n_particles: int) -> DataFrame:
     """(gid, sphere, n, mass): particles beyond radius sphere - 1 up to radius sphere. radii ascend."""
     plan = levels(box, radii[-1], n_particles)
+    many = most_rows(points.count(), plan, radii, box) > FEW_ROWS
     rows, home = searched(points, box, radii, plan), homes(particles, box, plan)
     if not plan.deepest:  # cells are as wide as the radius, and hardly any lies in a sphere
-        pairs, r2 = found_pairs(home, rows, box, plan)
+        pairs, r2 = found_pairs(home, rows, box, plan, many)
         inside = pairs.where(geometry.in_sphere(r2, radii[-1])).select("gid", "mass", geometry.spheres_beyond(r2, radii).alias("sphere"))
         return inside.groupBy("gid", "sphere").agg(F.count("*").alias("n"), F.sum("mass").alias("mass"))
     # one join for both: whole cells meet their sums by level, open ones their particles
-    single = home.select(F.lit(OPEN).alias("level"), numbered(home, plan, plan.deepest).alias("cell"), "x", "y", "z", F.lit(1).cast("long").alias("n"), "mass")
-    sums = cell_sums(home, plan).select("level", "cell", *[F.lit(0.0).alias(a) for a in geometry.AXES], "n", "mass")
-    wanted = rows.select("gid", *G, "sphere", F.when(F.col("sphere") == OPEN, OPEN).otherwise(F.col("level")).alias("level"), numbered(rows, plan).alias("cell"))
-    both, r2 = with_distance(spread(single.unionByName(sums), "level", "cell").join(wanted, ["level", "cell"]).drop("level", "cell"), box)
+    key = lambda cell, level: (F.shiftleft(cell, 3) + (F.lit(level) if isinstance(level, int) else level) + 1).alias("cell")
+    single = home.select(key(numbered(home, plan, plan.deepest), OPEN), "x", "y", "z", F.lit(1).cast("long").alias("n"), "mass")
+    sums = cell_sums(home, plan).select(key(F.col("cell"), F.col("level")), *[F.lit(0.0).alias(a) for a in geometry.AXES], "n", "mass")
+    wanted = rows.select("gid", *G, "sphere", key(numbered(rows, plan), F.when(F.col("sphere") == OPEN, OPEN).otherwise(F.col("level"))))
+    both, r2 = with_distance(spread(single.unionByName(sums), "cell").join(beside(wanted, many), "cell").drop("cell"), box)
     whole = F.col("sphere") != OPEN
     kept = both.where(whole | geometry.in_sphere(r2, radii[-1]))
     sphere = F.when(whole, F.col("sphere")).otherwise(geometry.spheres_beyond(r2, radii))
@@ -171,7 +187,8 @@ def kernel_sums(points: DataFrame, particles: DataFrame, box: Sequence[float], r
 def in_reach(points: DataFrame, particles: DataFrame, box: Sequence[float], radius: float) -> DataFrame:
     """(gid, mass, r2) of every particle within the radius of a point, in one level of cells; particles may be a stream."""
     plan = levels(box, radius, 0)
-    pairs, r2 = found_pairs(homes(particles, box, plan), searched(points, box, [radius], plan), box, plan)
+    many = not particles.isStreaming and most_rows(points.count(), plan, [radius], box) > FEW_ROWS
+    pairs, r2 = found_pairs(homes(particles, box, plan), searched(points, box, [radius], plan), box, plan, many)
     return pairs.select("gid", "mass", r2.alias("r2")).where(geometry.in_sphere(F.col("r2"), radius))
 
 
