@@ -69,7 +69,7 @@ def test_levels_do_not_change_sums(spark):
     assert {r["gid"]: (r["n_2"], r["mass_2"]) for r in deep} == slow
 
 
-@pytest.mark.parametrize(("radii", "side", "n", "sent"), [((3.0, 6.0, 9.0), 8, 10**6, False), ((0.1, 2.0, 5.0, 9.0), 8, 10**6, False), ((3.0, 6.0, 9.0), 1, 10**4, True)], ids=["large", "mixed", "few"])
+@pytest.mark.parametrize(("radii", "side", "n", "sent"), [((3.0, 6.0, 9.0), 8, 10**6, False), ((0.1, 2.0, 5.0, 9.0), 8, 10**6, False), ((0.5, 1.0), 12, 0, False), ((3.0, 6.0, 9.0), 1, 10**4, True)], ids=["large", "mixed", "halos", "few"])
 def test_many_cells_are_not_broadcast(spark, radii, side, n, sent):
     """Spark takes the rows for cells, points exploded level by level, for as small as the points: 512 of them filled the driver."""
     assert plan_sends(spark, lattice(side), radii, n) == sent
