@@ -138,12 +138,14 @@ def beside(rows: DataFrame, many: bool) -> DataFrame:
     return rows.hint("merge") if many else rows
 
 
-def found_pairs(home: DataFrame, rows: DataFrame, box: Sequence[float], plan: Levels, many: bool) -> tuple[DataFrame, Column]:
-    """(gid, mass and separations of the particles in the rows' cells, which are of the deepest level; squared distance)."""
+def found_pairs(home: DataFrame, rows: DataFrame, box: Sequence[float], plan: Levels, radius: float, many: bool) -> tuple[DataFrame, Column]:
+    """(gid, mass and separations of the particles in the rows' cells, which are of the deepest level, within the radius; squared
+    distance). The join itself judges the distance, so that no row is made for the pairs beyond, which are four of five."""
     left = home.select("x", "y", "z", "mass", numbered(home, plan, plan.deepest).alias("cell"))
     left = left if home.isStreaming else spread(left, "cell")
     right = rows.select("gid", *G, numbered(rows, plan, plan.deepest).alias("cell"))
-    return with_distance(left.join(beside(right, many), "cell").drop("cell"), box)
+    near = geometry.in_sphere(geometry.distance2([F.col(a) for a in geometry.AXES], [F.col(g) for g in G], box), radius)
+    return with_distance(left.join(beside(right, many), "cell").drop("cell").where(near), box)
 
 
 def sphere_sums(points: DataFrame, particles: DataFrame, box: Sequence[float], radii: Sequence[float], n_particles: int) -> DataFrame:
@@ -152,9 +154,8 @@ def sphere_sums(points: DataFrame, particles: DataFrame, box: Sequence[float], r
     many = most_rows(points.count(), plan, radii, box) > FEW_ROWS
     rows, home = searched(points, box, radii, plan), homes(particles, box, plan)
     if not plan.deepest:  # cells are as wide as the radius, and hardly any lies in a sphere
-        pairs, r2 = found_pairs(home, rows, box, plan, many)
-        inside = pairs.where(geometry.in_sphere(r2, radii[-1])).select("gid", "mass", geometry.spheres_beyond(r2, radii).alias("sphere"))
-        return inside.groupBy("gid", "sphere").agg(F.count("*").alias("n"), F.sum("mass").alias("mass"))
+        pairs, r2 = found_pairs(home, rows, box, plan, radii[-1], many)
+        return pairs.select("gid", "mass", geometry.spheres_beyond(r2, radii).alias("sphere")).groupBy("gid", "sphere").agg(F.count("*").alias("n"), F.sum("mass").alias("mass"))
     # one join for both: whole cells meet their sums by level, open ones their particles
     key = lambda cell, level: (F.shiftleft(cell, 3) + (F.lit(level) if isinstance(level, int) else level) + 1).alias("cell")
     single = home.select(key(numbered(home, plan, plan.deepest), OPEN), "x", "y", "z", F.lit(1).cast("long").alias("n"), "mass")
@@ -188,8 +189,8 @@ def in_reach(points: DataFrame, particles: DataFrame, box: Sequence[float], radi
     """(gid, mass, r2) of every particle within the radius of a point, in one level of cells; particles may be a stream."""
     plan = levels(box, radius, 0)
     many = not particles.isStreaming and most_rows(points.count(), plan, [radius], box) > FEW_ROWS
-    pairs, r2 = found_pairs(homes(particles, box, plan), searched(points, box, [radius], plan), box, plan, many)
-    return pairs.select("gid", "mass", r2.alias("r2")).where(geometry.in_sphere(F.col("r2"), radius))
+    pairs, r2 = found_pairs(homes(particles, box, plan), searched(points, box, [radius], plan), box, plan, radius, many)
+    return pairs.select("gid", "mass", r2.alias("r2"))
 
 
 def long_form(wide: DataFrame, radii: Sequence[float]) -> DataFrame:
