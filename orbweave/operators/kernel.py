@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbweave.functions import cosmology, geometry
+from orbweave.operators import dense
 
 G = ("gx", "gy", "gz")
 IJK = ("i", "j", "k")
@@ -148,10 +149,10 @@ def found_pairs(home: DataFrame, rows: DataFrame, box: Sequence[float], plan: Le
     return with_distance(left.join(beside(right, many), "cell").drop("cell").where(near), box)
 
 
-def sphere_sums(points: DataFrame, particles: DataFrame, box: Sequence[float], radii: Sequence[float], n_particles: int) -> DataFrame:
+def sphere_sums(points: DataFrame, particles: DataFrame, box: Sequence[float], radii: Sequence[float], n_particles: int, n_points: int | None = None) -> DataFrame:
     """(gid, sphere, n, mass): particles beyond radius sphere - 1 up to radius sphere. radii ascend."""
     plan = levels(box, radii[-1], n_particles)
-    many = most_rows(points.count(), plan, radii, box) > FEW_ROWS
+    many = most_rows(points.count() if n_points is None else n_points, plan, radii, box) > FEW_ROWS
     rows, home = searched(points, box, radii, plan), homes(particles, box, plan)
     if not plan.deepest:  # cells are as wide as the radius, and hardly any lies in a sphere
         pairs, r2 = found_pairs(home, rows, box, plan, radii[-1], many)
@@ -172,11 +173,16 @@ def kernel_sums(points: DataFrame, particles: DataFrame, box: Sequence[float], r
     """One row a point, with n_k, mass_k and delta_k for each radius by its place in the list; empty spheres have 0, 0, -1.
     n_particles, about, sets the depth; without it particles are counted."""
     ordered = sorted(set(map(float, radii)))
-    part = sphere_sums(points, particles, box, ordered, particles.count() if n_particles is None else n_particles)
-    sums = []
-    for k, r in enumerate(radii):
-        inside = F.col("sphere") <= ordered.index(float(r))
-        sums += [F.sum(F.when(inside, F.col("n"))).alias(f"n_{k}"), F.sum(F.when(inside, F.col("mass"))).alias(f"mass_{k}")]
+    n_particles, n_points, sums = particles.count() if n_particles is None else n_particles, points.count(), []
+    if dense.fits(particles, box, ordered[-1], n_points, n_particles):
+        part = dense.sums(points, particles, box, ordered, n_particles)
+        for k, r in enumerate(radii):
+            sums += [F.sum(f"{c}_{ordered.index(float(r))}").alias(f"{c}_{k}") for c in ("n", "mass")]
+    else:
+        part = sphere_sums(points, particles, box, ordered, n_particles, n_points)
+        for k, r in enumerate(radii):
+            inside = F.col("sphere") <= ordered.index(float(r))
+            sums += [F.sum(F.when(inside, F.col("n"))).alias(f"n_{k}"), F.sum(F.when(inside, F.col("mass"))).alias(f"mass_{k}")]
     found = points.select("gid", *G).join(part.groupBy("gid").agg(*sums), "gid", "left")
     out = ["gid", *G]
     for k, r in enumerate(radii):
